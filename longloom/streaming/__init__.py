@@ -1,0 +1 @@
+"""Every workload this library covers is batch; there are no streaming operators."""
