@@ -12,10 +12,10 @@ BROADCAST_ROWS = 1_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the frame has at most ``max_rows`` rows.
 
-    The count stops at ``max_rows + 1``. A bigger frame is left unhinted: it is joined by shuffle, where adaptive
-    execution splits skewed partitions.
+    A bigger frame is left unhinted: it is joined by shuffle, where adaptive execution splits skewed partitions. Pass
+    frames that are cheap to read twice: scans, small aggregates or materialized results.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def multiplicity(df: DataFrame, *keys: str, out: str = "copies") -> DataFrame:

@@ -48,18 +48,18 @@ def hash_rank(df: DataFrame, id_col: str, salt: object, by: str | None = None, o
     slice. A group of any size thus spreads evenly over ``2**bits`` slices, and no task sorts a whole group. NULL
     groups are ranked among themselves.
     """
-    group = F.col(by) if by else F.lit(0)
+    # never NULL, so that a plain equality joins on it and the rows keep the partitioning of the window
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("NULL")) if by else F.lit("")
     keyed = df.withColumn("_g", group).withColumn("_h", hash32(id_col, salt))
     keyed = keyed.withColumn("_b", _buckets(bits, F.col("_h")))
     counts = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select(
-        F.col("_g").alias("_g2"), F.col("_b").alias("_b2"),
+        "_g", "_b",
         F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"),
     )
     inside = F.row_number().over(W.partitionBy("_g", "_b").orderBy("_h", id_col))
-    joined = keyed.withColumn("_in", inside).join(
-        before, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_b") == F.col("_b2")))
+    joined = keyed.withColumn("_in", inside).join(before, ["_g", "_b"])
     return joined.select(*df.columns, (F.col("_before") + F.col("_in")).cast("bigint").alias(out))
 
 
@@ -85,6 +85,6 @@ def hash_cut(df: DataFrame, id_col: str, salt: object, quota: DataFrame, by: str
     place = F.row_number().over(W.partitionBy("g", "b").orderBy("cut_hash", "cut_id"))
     # one crossing slice per group
     return (
-        keyed.join(crossing, ["g", "b"]).withColumn("place", place)
+        keyed.join(F.broadcast(crossing), ["g", "b"]).withColumn("place", place)
         .filter(F.col("place") == F.col("take")).select("g", "cut_hash", "cut_id")
     )

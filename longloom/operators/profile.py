@@ -84,8 +84,8 @@ def top_values(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
     The rank limit is applied within tasks before the shuffle, so a column of many values sends n per task.
     """
     best_first = W.partitionBy("column").orderBy(F.col("rows").desc(), F.col("value"))
-    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(best_first).cast("bigint"))
-    return ranked.filter(F.col("rank") <= n)
+    ranked = value_counts(df, columns).withColumn("rank", F.row_number().over(best_first))
+    return ranked.filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def infer_schema(df: DataFrame, max_domain: int = 20) -> DataFrame:
@@ -93,6 +93,11 @@ def infer_schema(df: DataFrame, max_domain: int = 20) -> DataFrame:
     values the sorted list of them."""
     stats = profile(df).select("column", "type", (F.col("missing") == 0).alias("required"))
     text = [n for n, kind in _kinds(df).items() if kind == "STRING"]
+    if not text:
+        return stats.withColumn("domain", F.lit(None).cast("array<string>"))
+    # columns of clearly more values (all texts of a corpus, say) are left out before their values are shuffled
+    rough = df.agg(*[F.approx_count_distinct(F.col(f"`{n}`")).alias(n) for n in text]).first()
+    text = [n for n in text if rough[n] <= 2 * max_domain]
     if not text:
         return stats.withColumn("domain", F.lit(None).cast("array<string>"))
     # at most max_domain + 1 values per column reach the array
@@ -127,10 +132,12 @@ def anomalies(df: DataFrame, schema: DataFrame) -> DataFrame:
     if not text:
         return structural
     domains = schema.filter(F.col("domain").isNotNull()).select("column", "domain")
+    pairs = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in text]))
     outside = (
-        value_counts(df, text).join(F.broadcast(domains), "column")  # one row per column of the schema
+        df.select(pairs).join(F.broadcast(domains), "column")  # one row per column of the schema
         .filter(~F.array_contains("domain", F.col("value")))
-        .groupBy("column").agg(F.sum("rows").alias("rows"))
+        .groupBy("column").agg(F.count(F.lit(1)).alias("rows"))
         .select("column", F.lit("unexpected_value").alias("anomaly"), "rows"))
     return structural.unionByName(outside)
 

@@ -105,7 +105,7 @@ def rank_sites_grouped(betas: DataFrame, classes: list[str], label: str = "sampl
     return top_sites(means, samples, classes, k, min_coverage, inclusive, site, score)
 
 
-def join_stages(betas: DataFrame, stages: DataFrame, target: str, project: str = "TCGA-BRCA") -> DataFrame:
+def join_stages(betas: DataFrame, stages: DataFrame, *targets: str, project: str = "TCGA-BRCA") -> DataFrame:
     """Tumor measurements of one project's patients with the annotated stage.
 
     Exact duplicates among the stage rows are dropped first. What is left is counted per patient and stage, in
@@ -113,7 +113,7 @@ def join_stages(betas: DataFrame, stages: DataFrame, target: str, project: str =
     """
     patients = (
         stages.filter(F.col("project_short_name") == project).dropDuplicates()
-        .transform(multiplicity, "case_barcode", target)
+        .transform(multiplicity, "case_barcode", *targets)
     )
     tumor = betas.filter(F.col("sample_status") == "tumor")
     return tumor.join(broadcast_if_small(patients), "case_barcode")
@@ -123,7 +123,7 @@ def rank_sites_multiclass(betas: DataFrame, stages: DataFrame, target: str = "pa
                           project: str = "TCGA-BRCA", k: int = 5000, min_coverage: float = 0.9,
                           sample: str = "case_barcode") -> DataFrame:
     """Sites that best separate the stages of one project's tumor samples."""
-    staged = join_stages(betas, stages, target, project)
+    staged = join_stages(betas, stages, target, project=project)
     stage = stage_class(stage_of_sample(F.col("sample_id"), F.col(target)), target)
     return rank_sites_grouped(staged.withColumn("stage", stage), stage_classes(target), label="stage", k=k,
                               min_coverage=min_coverage, sample=sample, weight="copies")

@@ -73,9 +73,10 @@ def matrix_from_measurements(meth: DataFrame, annotation: DataFrame, gdc: DataFr
                              min_coverage: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """Label, rank, pivot: the ``(id, label, features)`` matrix of the k best sites and its site index.
 
-    The labelled measurements and the ranked sites are each read twice and therefore written once.
+    The ranked sites are stored, a short list read several times. The labelled measurements are not: labelling joins
+    within the scan's tasks, so scanning the raw table twice costs less than writing it out.
     """
-    betas = materialize(label_measurements(meth, annotation, gdc))
+    betas = label_measurements(meth, annotation, gdc)
     index = site_index(materialize(rank_sites(betas, k, min_coverage)))
     rows = encode_label(pivot_vector(betas, index), "sample_status", STATUS_CLASSES)
     return rows.select(F.col("aliquot_barcode").alias("id"), "label", "features"), index

@@ -101,16 +101,15 @@ def range_bucket(number, start: int = BUCKET_START, end: int = BUCKET_END, size:
 
 
 def write_bucketed(df: DataFrame, target: str, number: str = "row_number", bucket: str = "rn_bucket",
-                   files_per_bucket: int = 1, **bounds: int) -> None:
+                   **bounds: int) -> None:
     """Write a table in one folder per range bucket, rows sorted by the number within each file.
 
-    ``files_per_bucket`` spreads each bucket over several tasks: the salt is a hash of the row, so a bucket that
-    holds most of the table is still written in parallel.
+    Rows are rebalanced by bucket: adaptive execution cuts a bucket of any size into tasks of the advisory partition
+    size and puts small buckets together, so neither one huge bucket nor many tiny ones decide the file sizes.
     """
     out = df.withColumn(bucket, range_bucket(F.col(number), **bounds))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_bucket)).alias("salt")
     (
-        out.repartition(bucket, salt)
+        out.hint("rebalance", F.col(bucket))
         .sortWithinPartitions(bucket, number)
         .write.mode("overwrite").partitionBy(bucket).parquet(target)
     )
