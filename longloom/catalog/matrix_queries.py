@@ -11,6 +11,7 @@ from ..operators.impute import impute_knn, impute_mean, impute_zero
 from ..operators.split import (
     split_buckets, split_exact, split_hash, split_ordered, stratified_folds, take_split)
 from ..plans.preparation import preprocess
+from ..session import materialize
 from ..sources.fixtures import table, view
 from . import inputs
 from .registry import h32, query
@@ -151,7 +152,7 @@ def hash_sample_query(spark, sf_dir):
     SELECT f.id, p.is_test, f.idx, round((f.x - s.m) / s.s, 6) AS x
     FROM filled f JOIN split_of p ON p.id = f.id JOIN stats s ON s.idx = f.idx""", steps=("filled", "split_of"))
 def standardize(spark, sf_dir):
-    parts = take_split(split_exact(impute_mean(inputs.matrix(spark, sf_dir))))
+    parts = take_split(materialize(split_exact(impute_mean(inputs.matrix(spark, sf_dir)))))
     train, test = scale.standardize(*parts)
     return inputs.cells(train.withColumn("is_test", F.lit(False)).unionByName(
         test.withColumn("is_test", F.lit(True))), "id", "is_test")

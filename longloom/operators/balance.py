@@ -54,12 +54,15 @@ def synthetic_rows(m: DataFrame, ratio: float = 0.5, k: int = 5, seed: object =
     the way to it, both by a hash of class and j. Features must be complete; ids distinct.
     """
     m = m if stored else materialize(m)
-    sized = class_counts(m.filter(F.col(label).isNotNull()), label).collect()  # one row per class
-    counts = {r[label]: r["rows"] for r in sized}
+    known = m.filter(F.col(label).isNotNull()).groupBy(label).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("features")).alias("width")).collect()  # one row per class
+    counts, width = {r[label]: r["rows"] for r in known}, max((r["width"] for r in known), default=0)
     new = oversampling_plan(counts, ratio)
     single = [c for c in new if counts[c] < 2]
     if single:
         raise ValueError(f"classes with a single row have no neighbours: {single}")
+    if not new:
+        return m.filter(F.lit(False)).select(label, F.lit(None).cast("bigint").alias("j"), "features")
     rows = m.filter(F.col(label).isin(list(new)))
     member, total, most_new = F.col("_r"), _by_class(label, counts), _by_class(label, new)
     bases = hash_rank(rows.select("id", label, "features"), "id", seed, by=label, out="_rank")
@@ -83,7 +86,6 @@ def synthetic_rows(m: DataFrame, ratio: float = 0.5, k: int = 5, seed: object =
     draws = draws.join(near.select("id", "best"), "id").select(
         "id", label, "j", F.get(F.col("best"), choice)["donor"].alias("_mate"), share.alias("_u"))
 
-    width = rows.agg(F.max(F.size("features"))).first()[0] or 0
     vectors = rows.select(F.col("id").alias("_id"), F.col("features").alias("_x"))
     if sum(counts[c] for c in new) * width <= BROADCAST_VALUES:
         vectors = F.broadcast(vectors)

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize_measured
+
 # A lookup of short strings and numbers with this many rows takes about 100 MB in an executor.
 BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the frame has at most ``max_rows`` rows.
+    """The frame, computed and stored once, with a broadcast hint only if it has at most ``max_rows`` rows.
 
-    A bigger frame is left unhinted: it is joined by shuffle, where adaptive execution splits skewed partitions. Pass
-    frames that are cheap to read twice: scans, small aggregates or materialized results.
+    A bigger frame is left unhinted: it is joined by shuffle, where adaptive execution splits skewed partitions.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    stored, seen = materialize_measured(df)
+    return F.broadcast(stored) if seen["rows"] <= max_rows else stored
 
 
 def multiplicity(df: DataFrame, *keys: str, out: str = "copies") -> DataFrame:

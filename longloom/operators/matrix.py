@@ -52,10 +52,14 @@ def drop_sparse_columns(m: DataFrame, index: DataFrame | None = None,
 
     Returns the matrix and its new index: ``idx``, ``old_idx`` and the columns of the given index.
     """
-    kept = column_stats(m).filter(F.col("missing_rate") <= F.lit(float(threshold))).select("idx")
-    keep = kept.agg(F.array_sort(F.collect_list("idx"))).scalar()
-    out = m.withColumn("_keep", keep)
-    out = out.withColumn("features", F.transform("_keep", lambda i: F.get(F.col("features"), i))).drop("_keep")
+    stats = column_stats(m)
+    sparse_enough = F.col("missing_rate") <= F.lit(float(threshold))
+    out = m.withColumn("_keep", stats_array(stats, sparse_enough))
+    # the arrays are paired position by position; indexing one inside a lambda may evaluate it once per position
+    pairs = F.zip_with("features", "_keep", lambda x, keep: F.struct(x.alias("x"), keep.alias("keep")))
+    kept_pairs = F.filter(pairs, lambda p: p["keep"])
+    out = out.withColumn("features", F.transform(kept_pairs, lambda p: p["x"])).drop("_keep")
+    kept = stats.filter(sparse_enough).select("idx")
     order = kept.agg(F.posexplode(F.array_sort(F.collect_list("idx"))).alias("idx", "old_idx"))
     if index is not None:
         order = order.join(index.withColumnRenamed("idx", "old_idx"), "old_idx")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import sample_code, sample_status
+from ..session import materialize_measured
 from .joins import BROADCAST_ROWS, broadcast_if_small, fan_out, multiplicity
 from .numbering import ordered_index
 
@@ -17,11 +18,10 @@ def annotated(meth: DataFrame, annotation: DataFrame, gdc: DataFrame) -> DataFra
     reduced to one row per probe with its number of copies, so the lookup that meets the measurements is small and
     unique, and a probe named by many annotation rows costs no shuffle of its measurements.
     """
-    lookup = probe_lookup(annotation, gdc)
-    rows, most = lookup.agg(F.count(F.lit(1)), F.max("copies")).first()
-    lookup = F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
+    lookup, seen = materialize_measured(probe_lookup(annotation, gdc), most=F.max("copies"))
+    lookup = F.broadcast(lookup) if seen["rows"] <= BROADCAST_ROWS else lookup
     hits = meth.join(lookup, "probe_id").withColumnRenamed("probe_id", "CpG_probe_id")
-    return fan_out(hits) if most is not None and most > 1 else hits.drop("copies")
+    return fan_out(hits) if (seen["most"] or 1) > 1 else hits.drop("copies")
 
 
 def probe_lookup(annotation: DataFrame, gdc: DataFrame) -> DataFrame:

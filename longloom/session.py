@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +46,13 @@ def materialize(df: DataFrame) -> DataFrame:
     This cuts lineage so that a lost executor re-reads files instead of recomputing, fixes values that depend on
     physical partitioning, and gives the optimizer true file sizes to choose join strategies by.
     """
+    return materialize_measured(df)[0]
+
+
+def materialize_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """The written frame, its number of ``rows`` and further aggregates, all from the one job that writes it."""
     path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    exprs = [F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in measures.items()]]
+    df.observe(seen, *exprs).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get

@@ -7,25 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["customer", "part", "lineitem", "orders", "events", "documents", "embeddings", "labels"]
+TABLES = ["customer", "supplier", "part", "lineitem", "orders", "events", "documents", "embeddings", "labels"]
 
-# name -> views it builds on, in order; {base36:x} is the number x in base 36, six digits long.
+# name -> views it builds on, in order; case numbers are six hexadecimal digits.
 VIEWS: dict[str, tuple[list[str], str]] = {
     "fx_cell": ([], """
         SELECT l_suppkey AS s, l_partkey % 200 AS p,
           round((min(l_extendedprice) - 1000*floor(min(l_extendedprice)/1000))/1000*0.6
             + CASE WHEN l_partkey % 200 % 10 = 3 AND l_suppkey % 10 NOT IN (3,7) THEN 0.3 ELSE 0 END, 6) AS b
         FROM {lineitem} GROUP BY l_suppkey, l_partkey % 200"""),
-    "fx_barcode": (["fx_cell"], """
-        SELECT s, p, b, <base36:CAST(floor(s/2) AS BIGINT)> AS n, lpad(CAST(s AS STRING),9,'0') AS s9 FROM fx_cell"""),
+    "fx_barcode": ([], """
+        SELECT s_suppkey AS s, 'TCGA-' || substr(n,1,2) || '-' || substr(n,3,4) AS case_barcode,
+          'TCGA-' || substr(n,1,2) || '-' || substr(n,3,4) || '-' || CASE WHEN s_suppkey % 20 = 19 THEN '20'
+            WHEN s_suppkey % 10 IN (3,7) THEN '11' ELSE '0' || CAST(1 + s_suppkey % 9 AS STRING) END
+            || 'A-11D-A' || lpad(CAST(s_suppkey AS STRING),9,'0') || '-05' AS aliquot_barcode
+        FROM (SELECT s_suppkey, lpad(hex(CAST(floor(s_suppkey/2) AS BIGINT)),6,'0') AS n FROM {supplier}) t"""),
     "fx_methylation": (["fx_cell", "fx_barcode"], """
-        SELECT 'TCGA-' || substr(n,1,2) || '-' || substr(n,3,4) AS case_barcode,
-          'TCGA-' || substr(n,1,2) || '-' || substr(n,3,4) || '-' ||
-            CASE WHEN s % 20 = 19 THEN '20' WHEN s % 10 IN (3,7) THEN '11' ELSE '0' || CAST(1 + s % 9 AS STRING) END
-            || 'A-11D-A' || s9 || '-05' AS aliquot_barcode,
-          'cg' || lpad(CAST(p AS STRING),8,'0') AS probe_id,
-          CASE WHEN p % 5 = 0 AND s % 4 = 0 THEN NULL WHEN (s + p) % 50 = 0 THEN NULL ELSE b END AS beta_value
-        FROM fx_barcode"""),
+        SELECT case_barcode, aliquot_barcode, 'cg' || lpad(CAST(p AS STRING),8,'0') AS probe_id,
+          CASE WHEN p % 5 = 0 AND c.s % 4 = 0 THEN NULL WHEN (c.s + p) % 50 = 0 THEN NULL ELSE b END AS beta_value
+        FROM fx_cell c JOIN fx_barcode f ON c.s = f.s"""),
     # Arrays also carry probes of other kinds ('ch'), which match no measurement.
     "fx_annotation": ([], """
         SELECT DISTINCT CASE WHEN p_partkey % 200 % 40 = 39 THEN 'ch' ELSE 'cg' END
@@ -47,7 +47,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           event_id % 5 AS MaxAds, 30 * (event_id % 4) AS MaxDuration
         FROM {events}"""),
     "fx_stage_code": ([], """
-        SELECT c_custkey, <base36:c_custkey> AS n FROM {customer}"""),
+        SELECT c_custkey, lpad(hex(c_custkey),6,'0') AS n FROM {customer}"""),
     "fx_stage1": (["fx_stage_code"], """
         SELECT 'TCGA-' || substr(n,1,2) || '-' || substr(n,3,4) AS case_barcode,
           CASE c_custkey % 6 WHEN 0 THEN 'Stage I' WHEN 1 THEN 'Stage IIA' WHEN 2 THEN 'Stage IIIC'
@@ -76,22 +76,12 @@ _DUCK_CELLS = ("SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i
                "CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings")
 
 
-def _with_base36(sql: str, call) -> str:
-    while "<base36:" in sql:
-        head, _, tail = sql.partition("<base36:")
-        number, _, tail = tail.partition(">")
-        sql = head + call(number) + tail
-    return sql
-
-
 def spark_text(name: str) -> str:
-    sql = VIEWS[name][1].replace("<cells>", _SPARK_CELLS)
-    return _with_base36(sql, lambda n: f"lpad(conv({n}, 10, 36), 6, '0')")
+    return VIEWS[name][1].replace("<cells>", _SPARK_CELLS)
 
 
 def duck_text(name: str) -> str:
     sql = VIEWS[name][1].replace("<cells>", _DUCK_CELLS)
-    sql = _with_base36(sql, lambda n: f"lpad(to_base({n}, 36), 6, '0')")
     for table in TABLES:
         sql = sql.replace("{" + table + "}", table)
     return sql
