@@ -56,23 +56,31 @@ class QueryBlock:
         high = np.sqrt(np.maximum(rough + error, 0.0))
         for i, asked in enumerate(self.asked):
             if len(asked):
-                has = known[:, asked] if self.per_gap else (ids != self.ids[i])[:, None]
-                self._merge(i, ids, values, known, has, low[i], high[i])
+                self._merge(i, ids, values, known, low[i], high[i])
 
-    def _merge(self, i, ids, values, known, has, low, high) -> None:
+    def _has(self, i: int, ids: np.ndarray, known: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which of the rows can answer which question of query i."""
+        if self.per_gap:
+            return known[np.ix_(rows, self.asked[i])]
+        return (ids[rows] != self.ids[i])[:, None]
+
+    def _merge(self, i, ids, values, known, low, high) -> None:
         k = self.k
-        bound = self.dist[i][:, -1]
-        if len(ids) >= k:
-            reach = np.where(has, high[:, None], np.inf)
+        bound = self.dist[i][:, -1]  # the k-th best so far, by question
+        near = np.flatnonzero((low <= bound.max() + _SLACK) & np.isfinite(low))
+        if len(near) > k:
+            # whatever is certainly behind the k-th of these on every question is out, too
+            reach = np.where(self._has(i, ids, known, near), high[near, None], np.inf)
             bound = np.minimum(bound, np.partition(reach, k - 1, axis=0)[k - 1])
-        near = np.flatnonzero((low <= bound.max() + _SLACK) & np.isfinite(low) & has.any(axis=1))
+            near = near[low[near] <= bound.max() + _SLACK]
         if not len(near):
             return
+        has = self._has(i, ids, known, near)
         shared = known[near] & self.known[i]
         diff = np.where(shared, values[near] - self.values[i], 0.0)
         exact = np.sqrt(values.shape[1] / shared.sum(axis=1) * (diff ** 2).sum(axis=1)).round(DIST_DIGITS)
         rows = len(self.asked[i])
-        offered = np.where(has[near], exact[:, None], np.inf).T
+        offered = np.where(has, exact[:, None], np.inf).T
         donated = values[near][:, self.asked[i]].T if self.per_gap else np.zeros((rows, len(near)))
         dist = np.concatenate([self.dist[i], offered], axis=1)
         donor = np.concatenate([self.donor[i], np.broadcast_to(ids[near], (rows, len(near)))], axis=1)

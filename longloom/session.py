@@ -27,7 +27,7 @@ def get_session(app: str = "longloom", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder every executor can reach.
+    """A new folder every executor can reach, within one folder per application that can be removed afterwards.
 
     It lies under ``spark.checkpoint.dir`` as the session names it. Only a local session that names none gets a
     temporary folder; a cluster that names none is an error, because a machine-local folder would lose the data.
@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="longloom-")
-    return f"{base.rstrip('/')}/longloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/longloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
