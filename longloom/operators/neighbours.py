@@ -10,14 +10,19 @@ question. No pair is ever a row of a frame, and both sides of a cell are bounded
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# the task code travels with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 2048
 SPLIT_ROWS = 32768
 STEP_ROWS = 2048  # donors compared at a time: a cell's work arrays are BLOCK_ROWS x STEP_ROWS
