@@ -28,12 +28,14 @@ def first_id(log: DataFrame) -> DataFrame:
 
 
 def attach_first_id(log: DataFrame) -> DataFrame:
-    """Every log row with its request's viewer id, NULL when the request names none.
+    """Every log row with its request's viewer id, NULL when the request names none; rows without a request number
+    are one request.
 
     The id side has one row per request. A request with very many log rows makes a skewed partition on the log side
     only, which adaptive execution splits.
     """
-    return log.join(first_id(log), "UniqueIdentifier", "left")
+    ids = first_id(log).withColumnRenamed("UniqueIdentifier", "_request")
+    return log.join(ids, F.col("UniqueIdentifier").eqNullSafe(F.col("_request")), "left").drop("_request")
 
 
 def with_indicators(log: DataFrame) -> DataFrame:

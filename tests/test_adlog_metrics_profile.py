@@ -31,7 +31,7 @@ def log_rows(n=400, hot=0.4, seed=1):
     rng = random.Random(seed)
     kvs = [None, "", "a=1", "am_crmid=", "am_crmid=u%2D1&b=2", "x=1&am_crmid=u-2", "am_crmid=u-3&am_crmid=u+4", "am_crmid"]
     number = lambda: rng.choice([None, 0, 1, 5, 30])
-    return [(7 if rng.random() < hot else rng.randint(10, 90), rng.choice(kvs),
+    return [(7 if rng.random() < hot else rng.choice([None, *range(10, 90)]), rng.choice(kvs),
              rng.choice(["defaultImpression", "_q_complete", "click", None]), number(), number(), number(), number())
             for _ in range(n)]
 
@@ -49,6 +49,7 @@ def test_first_match_keeps_every_row(spark):
     df = spark.createDataFrame(log_rows(), LOG)
     joined = adlog.attach_first_id(df)
     assert joined.count() == 400
+    assert joined.filter("UniqueIdentifier IS NULL AND FreewheelId IS NULL").isEmpty()
     assert adlog.request_ids(df).count() == df.filter("length(AllRequestKv) > 0").select(
         "UniqueIdentifier", F.regexp_extract("AllRequestKv", "am_crmid=([^&]+)(?!.*am_crmid=[^&])", 1)).distinct().count()
 

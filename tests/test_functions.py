@@ -1,3 +1,5 @@
+from urllib.parse import parse_qsl
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -21,11 +23,14 @@ def test_sample_status_covers_every_code(spark):
 @pytest.mark.parametrize("text,want", [
     ("a=1&am_crmid=x=y", "x=y"), ("am_crmid=", None), ("am_crmid=o&am_crmid=u%2D7", "u-7"), ("am_crmid", None),
     ("am_crmid=z&am_crmid=", "z"), (None, None), ("", None), ("am_crmid=100%&b=1", "100%"), ("am_crmid=a+b", "a b"),
-    ("am%5Fcrmid=k", "k"), ("am_crmid=%zz%41", "%zzA"),
+    ("am%5Fcrmid=k", "k"), ("am_crmid=%zz%41", "%zzA"), ("am_crmid=1&am%5Fcrmid=2", "2"), ("xam_crmid=1", None),
+    ("am%5Fcrmid=1&am_crmid=2", "2"), ("a=am_crmid=3", None), ("am_crmid=l1%0Al2&z", "l1\nl2"), ("&&am_crmid=5&", "5"),
+    ("am_crmid=\n&b=1", "\n"), ("b+c=1&am_crmid=6", "6"), ("am_crmid==", "="), ("am_crmid=%C3%A9", "é"),
 ])
 def test_query_param(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(kv.query_param(F.col("t"), "am_crmid")).first()[0] == want
+    assert dict(parse_qsl(text or "")).get("am_crmid") == want
 
 
 def test_truthy(spark):
