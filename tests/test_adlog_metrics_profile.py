@@ -11,14 +11,18 @@ LOG = ("UniqueIdentifier bigint, AllRequestKv string, EventName string, AdDurati
        "MaxAds bigint, MaxDuration bigint")
 
 
-def brute_metrics(rows):
+def brute_ids(rows):
     ids = {}
     for r in rows:
         if r[1]:
             found = dict(parse_qsl(r[1])).get("am_crmid")
             if found:
                 ids[r[0]] = min(found, ids.get(r[0], found))
-    sums = {}
+    return ids
+
+
+def brute_metrics(rows):
+    ids, sums = brute_ids(rows), {}
     for uid, _, event, duration, selected, most, length in rows:
         if uid in ids:
             add = [most, selected, duration, length, int(event == "defaultImpression"), int(event == "_q_complete")]
@@ -31,7 +35,7 @@ def log_rows(n=400, hot=0.4, seed=1):
     rng = random.Random(seed)
     kvs = [None, "", "a=1", "am_crmid=", "am_crmid=u%2D1&b=2", "x=1&am_crmid=u-2", "am_crmid=u-3&am_crmid=u+4", "am_crmid"]
     number = lambda: rng.choice([None, 0, 1, 5, 30])
-    return [(7 if rng.random() < hot else rng.choice([None, *range(10, 90)]), rng.choice(kvs),
+    return [(7 if rng.random() < hot else rng.choice([None] * 9 + list(range(10, 90))), rng.choice(kvs),
              rng.choice(["defaultImpression", "_q_complete", "click", None]), number(), number(), number(), number())
             for _ in range(n)]
 
@@ -46,12 +50,19 @@ def test_ad_metrics_matches_brute_force(spark):
 
 
 def test_first_match_keeps_every_row(spark):
-    df = spark.createDataFrame(log_rows(), LOG)
-    joined = adlog.attach_first_id(df)
-    assert joined.count() == 400
-    assert joined.filter("UniqueIdentifier IS NULL AND FreewheelId IS NULL").isEmpty()
-    assert adlog.request_ids(df).count() == df.filter("length(AllRequestKv) > 0").select(
-        "UniqueIdentifier", F.regexp_extract("AllRequestKv", "am_crmid=([^&]+)(?!.*am_crmid=[^&])", 1)).distinct().count()
+    rows = log_rows()
+    ids = brute_ids(rows)
+    assert None in ids  # rows without a request number are one request
+    joined = adlog.attach_first_id(spark.createDataFrame(rows, LOG)).collect()
+    assert len(joined) == len(rows)
+    assert all(r.FreewheelId == ids.get(r.UniqueIdentifier) for r in joined)
+
+
+def test_request_ids_are_distinct_pairs(spark):
+    rows = log_rows()
+    pairs = {(r[0], dict(parse_qsl(r[1])).get("am_crmid")) for r in rows if r[1]}
+    got = [tuple(r) for r in adlog.request_ids(spark.createDataFrame(rows, LOG)).collect()]
+    assert len(got) == len(pairs) and set(got) == pairs
 
 
 def test_zero_denominators(spark):
