@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK_ROWS = 2048
 SPLIT_ROWS = 32768
 STEP_ROWS = 2048  # donors compared at a time: a cell's work arrays are BLOCK_ROWS x STEP_ROWS
+MAX_TASKS = 20_000  # a task works through several cells, one after the other, when there are more
 DIST_DIGITS = 9
 _SLACK = 2 * 10.0 ** -DIST_DIGITS
 
@@ -186,7 +187,8 @@ def nearest(queries: DataFrame, donors: DataFrame, sizes: dict[object, tuple[int
 
     cells = sum(b * s for b, s in grid.values())
     laid_out = side(queries, 0).unionByName(side(donors, 1))
-    laid_out = laid_out.repartition(2 * cells, "_g", "_q", "_d").sortWithinPartitions("_g", "_q", "_d", "_side")
+    tasks = min(2 * cells, MAX_TASKS)
+    laid_out = laid_out.repartition(tasks, "_g", "_q", "_d").sortWithinPartitions("_g", "_q", "_d", "_side")
     id_type = queries.schema["id"].dataType
     schema = T.StructType([
         T.StructField("id", id_type), T.StructField("idx", T.IntegerType()), T.StructField("dist", T.DoubleType()),

@@ -51,7 +51,7 @@ def preprocess(m: DataFrame, index: DataFrame | None = None, threshold: float =
         filled = impute(cleaned, fill, **stored)
         train, test = take_split(materialize(split_exact(filled, test_size, seed)))
     else:
-        train, test = take_split(split_exact(cleaned, test_size, seed))
+        train, test = take_split(materialize(split_exact(cleaned, test_size, seed)))
         fitted = {} if fill == "zero" else {"fit_on": train}
         train, test = (materialize(impute(part, fill, **stored, **fitted)) for part in (train, test))
     train, test = standardize(train, test)
