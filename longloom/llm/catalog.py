@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, urls
+from ..session import shared_dir
+from . import mixing, packing, quality_rules, rans, urls
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), 4096, 1)
 
 
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw_copies(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_copies=3)
+    return drawn.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies",
+                        (F.col("copies") * F.col("size")).alias("taken"))
+
+
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block",
              "net/fr/": "block"}
 
@@ -64,6 +72,13 @@ ORACLES["op3_url_filter"] = f"""
     FROM ruled"""
 
 
+@query
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens"
+    rans.write_token_file(table(spark, sf_dir, "documents"), path, public_path("byte_bpe_50k.json"), 2)
+    return rans.read_token_digests(spark, path)
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
