@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import mixing, packing, quality_rules, rans, urls
+from . import mixing, packing, quality_model, quality_rules, rans, urls
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,18 @@ ORACLES["op7_quality_rules"] = f"""
       n_words < {_Q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
       NOT (n_words < {_Q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND lost <= {_Q.MAX_LOST}::DOUBLE * n_words AS kept
     FROM measured"""
+
+
+def graded_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, grade``: 0 for poor, 1 for good but toxic, 2 for good and harmless."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit_grades(docs, graded_labels(table(spark, sf_dir, "labels")), 3)
+    graded = quality_model.grade_documents(docs, model, cut=1, least=0.5)
+    names = ("expected_grade", "tail_probability", "selected")
+    return graded.select("doc_id", *[F.col("graded")[c].alias(c) for c in names])
