@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import mixing, packing, quality_model, quality_rules, rans, urls
+from . import context_tree, mixing, packing, quality_model, quality_rules, rans, urls
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = quality_model.grade_documents(docs, model, cut=1, least=0.5)
     names = ("expected_grade", "tail_probability", "selected")
     return graded.select("doc_id", *[F.col("graded")[c].alias(c) for c in names])
+
+
+def id_remainder(modulus: int) -> Column:
+    """The crc32 of ``doc_id`` as text, modulo a number."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+@query
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_tree.score_documents(table(spark, sf_dir, "documents"), id_remainder(7) == 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                         "bits_per_byte")
