@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import context_tree, mixing, packing, quality_model, quality_rules, rans, urls
+from . import context_tree, mixing, packing, quality_model, quality_rules, rans, toxicity, urls
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_remainder(modulus: int) -> Column:
+    """The crc32 of ``doc_id`` as text, modulo a number."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), 4096, 1)
@@ -79,6 +84,15 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_token_digests(spark, path)
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), id_remainder(5) == 0
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity.score").alias("score"),
+                         F.col("toxicity.predicted").alias("predicted"), F.col("toxicity.spans").alias("spans"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -138,11 +152,6 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", *[F.col("graded")[c].alias(c) for c in names])
 
 
-def id_remainder(modulus: int) -> Column:
-    """The crc32 of ``doc_id`` as text, modulo a number."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
-
-
 @query
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = context_tree.score_documents(table(spark, sf_dir, "documents"), id_remainder(7) == 2)
