@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import context_tree, mixing, packing, quality_model, quality_rules, rans, toxicity, urls
+from . import context_tree, cover_tree, mixing, neardup, packing, quality_model, quality_rules, rans, toxicity, urls
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,25 @@ ORACLES["op3_url_filter"] = f"""
     FROM ruled"""
 
 
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+ORACLES["op4_exact_top_k"] = """
+    WITH good AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) AS n FROM good),
+    scores AS (
+      SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::BIGINT AS score
+      FROM parts a JOIN parts b ON a.i = b.i AND a.n = b.n AND a.vec_id != b.vec_id
+      WHERE a.vec_id % 100 = 0 GROUP BY ALL)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scores QUALIFY rank <= 10"""
+
+
 @query
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens"
@@ -152,6 +171,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", *[F.col("graded")[c].alias(c) for c in names])
 
 
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_documents(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = context_tree.score_documents(table(spark, sf_dir, "documents"), id_remainder(7) == 2)
