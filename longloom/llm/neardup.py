@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize_measured
-from ..session import materialize
+from ..session import materialize, materialize_measured
 from .worker import kept
 
 SHINGLE = 5
@@ -223,6 +222,19 @@ def cell_links(nodes: list[bytes], parts: np.ndarray, bits: np.ndarray, sets: li
     return links
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """The documents with one of each group left: that with the group's lowest id, see ``link_documents``.
+
+    Of rows with one id and text one stays; which, if other columns differ, is not said.
+    """
+    row = F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("NULL")), "_t")
+    left = _linked(docs, percent, size, id_col, text_col).filter("kept").select(row.alias("_row")).distinct()
+    named = docs.withColumns({"_id": F.col(id_col), "_t": F.xxhash64(text_col)}).withColumn("_row", row)
+    unique = named.join(left, "_row").dropDuplicates(["_row"])
+    return unique.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def link_documents(docs: DataFrame, percent: int = 85, size: int = SHINGLE, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for each document.
@@ -235,6 +247,11 @@ def link_documents(docs: DataFrame, percent: int = 85, size: int = SHINGLE, id_c
     connected with NULL ids only has a NULL ``component_id`` and is kept. Rows with one id and text are one document,
     each with its row; other columns are not read. An empty table gives no rows.
     """
+    linked = _linked(docs, percent, size, id_col, text_col)
+    return linked.select(F.col("_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     stored = materialize(sketch(docs, id_col, text_col, size))
     full = stored.filter(F.col("node").isNotNull())
     classes = materialize(full.groupBy("node").agg(
@@ -284,7 +301,7 @@ def link_documents(docs: DataFrame, percent: int = 85, size: int = SHINGLE, id_c
     linked = found.join(lowest, "root").select("node", "component_id", F.lit(True).alias("_linked"))
     named = classes.select("node", "lowest").join(linked, "node", "left").select(
         "node", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("lowest")).alias("component_id"))
-    result = stored.select("_id", "n_shingles", "node").join(named, "node", "left")
+    result = stored.select("_id", "_t", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return result.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"),
+    return result.select("_id", "_t", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("_id") == component, component.isNull()).alias("kept"))
