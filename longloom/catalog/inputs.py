@@ -11,7 +11,7 @@ from ..operators.ranking import rank_sites
 from ..session import materialize
 from ..sources.fixtures import table, view
 
-TOP = 15
+TOP = 5000
 MEASUREMENT_VIEWS = ("fx_methylation", "fx_annotation", "fx_gdc_annotation")
 
 

@@ -198,11 +198,11 @@ def site_semi_join(spark, sf_dir):
     FROM (SELECT DISTINCT aliquot_barcode, sample_status FROM betas
           WHERE CpG_probe_id IN (SELECT CpG_probe_id FROM top_sites)) r
     CROSS JOIN site_idx i
-    LEFT JOIN betas b ON b.aliquot_barcode = r.aliquot_barcode AND b.CpG_probe_id = i.CpG_probe_id""",
-       steps=("site_idx",))
+    LEFT JOIN cells b ON b.aliquot_barcode = r.aliquot_barcode AND b.CpG_probe_id = i.CpG_probe_id""",
+       steps=("site_idx", "cells"))
 def pivot_vector(spark, sf_dir):
     df = inputs.labelled(spark, sf_dir)
-    vectors = pivot.pivot_vector(df, pivot.site_index(inputs.top_sites(df)))
+    vectors = pivot.pivot_vector(df, pivot.site_index(inputs.top_sites(df)), on_duplicate="avg")
     return inputs.cells(vectors, "aliquot_barcode", "sample_status")
 
 
@@ -220,40 +220,55 @@ def pivot_vector_avg(spark, sf_dir):
 
 
 _WIDE = """
-    SELECT r.aliquot_barcode, s.CpG_probe_id, b.beta_value
+    SELECT r.aliquot_barcode, s.CpG_probe_id, round(b.beta_value, 6) AS beta_value
     FROM (SELECT DISTINCT aliquot_barcode FROM betas WHERE CpG_probe_id IN (SELECT CpG_probe_id FROM top_sites)) r
     CROSS JOIN top_sites s
-    LEFT JOIN betas b ON b.aliquot_barcode = r.aliquot_barcode AND b.CpG_probe_id = s.CpG_probe_id"""
+    LEFT JOIN cells b ON b.aliquot_barcode = r.aliquot_barcode AND b.CpG_probe_id = s.CpG_probe_id"""
 
 
-@query("pivot_wide", _WIDE, steps=("top_sites",))
+@query("pivot_wide", _WIDE, steps=("top_sites", "cells"))
 def pivot_wide(spark, sf_dir):
     """Unpivoted again, since the column names depend on the data."""
     df = inputs.labelled(spark, sf_dir)
-    wide = pivot.pivot_wide(df, inputs.top_sites(df))
+    wide = pivot.pivot_wide(df, inputs.top_sites(df), on_duplicate="avg")
     return wide.unpivot("aliquot_barcode", [c for c in wide.columns if c != "aliquot_barcode"], "CpG_probe_id",
-                        "beta_value")
+                        "beta_value").withColumn("beta_value", F.round("beta_value", 6))
 
 
-# the first hundred annotated sites by name
-_SUM_SITES = [f"cg{i:08d}" for i in range(200) if i % 40 != 39 and i % 50 != 49][:100]
+# the annotated sites by name
+_SITES = [f"cg{i:08d}" for i in range(200) if i % 40 != 39 and i % 50 != 49]
+_SUM_SITES = _SITES[:100]
+
+
+def _rounded_sums(df, **options):
+    wide = pivot.pivot_sum(df, ["aliquot_barcode"], "CpG_probe_id", "beta_value", **options)
+    return wide.select("aliquot_barcode", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])
 
 
 @query("pivot_sum", "SELECT aliquot_barcode, " + ", ".join(
     f"round(sum(beta_value) FILTER (WHERE CpG_probe_id = '{c}'), 6) AS {c}" for c in _SUM_SITES)
     + " FROM betas GROUP BY aliquot_barcode", steps=("betas",))
 def pivot_sum(spark, sf_dir):
-    wide = pivot.pivot_sum(inputs.labelled(spark, sf_dir), ["aliquot_barcode"], "CpG_probe_id", "beta_value")
-    return wide.select("aliquot_barcode", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])
+    """The number of columns is a parameter here."""
+    return _rounded_sums(inputs.labelled(spark, sf_dir), max_columns=100)
+
+
+@query("pivot_limit", "SELECT aliquot_barcode, " + ", ".join(
+    f"round(sum(beta_value) FILTER (WHERE CpG_probe_id = '{c}'), 6) AS {c}" for c in _SITES)
+    + " FROM betas GROUP BY aliquot_barcode ORDER BY aliquot_barcode LIMIT 20", steps=("betas",))
+def pivot_limit(spark, sf_dir):
+    """The first rows in order are the feature."""
+    return _rounded_sums(inputs.labelled(spark, sf_dir), limit=20)
 
 
 @query("labelled_pivot", "SELECT p.*, l.sample_status FROM (SELECT aliquot_barcode, " + ", ".join(
-    f"round(sum(beta_value) FILTER (WHERE CpG_probe_id = '{c}'), 6) AS {c}" for c in _SUM_SITES)
+    f"round(sum(beta_value) FILTER (WHERE CpG_probe_id = '{c}'), 6) AS {c}" for c in _SITES)
     + """ FROM betas GROUP BY aliquot_barcode) p
     LEFT JOIN (SELECT DISTINCT aliquot_barcode, sample_status FROM betas) l USING (aliquot_barcode)""",
     steps=("betas",))
 def labelled_pivot(spark, sf_dir):
-    return pivot.labelled_pivot(pivot_sum(spark, sf_dir), inputs.labelled(spark, sf_dir))
+    df = inputs.labelled(spark, sf_dir)
+    return pivot.labelled_pivot(_rounded_sums(df), df)
 
 
 @query("matrix_end_to_end", """
@@ -261,7 +276,7 @@ def labelled_pivot(spark, sf_dir):
     FROM (SELECT DISTINCT aliquot_barcode AS id, CASE sample_status WHEN 'tumor' THEN 1 ELSE 0 END AS label FROM betas
           WHERE sample_status IN ('tumor','normal') AND CpG_probe_id IN (SELECT CpG_probe_id FROM top_sites)) r
     CROSS JOIN site_idx i
-    LEFT JOIN betas b ON b.aliquot_barcode = r.id AND b.CpG_probe_id = i.CpG_probe_id""", steps=("site_idx",))
+    LEFT JOIN cells b ON b.aliquot_barcode = r.id AND b.CpG_probe_id = i.CpG_probe_id""", steps=("site_idx", "cells"))
 def matrix_end_to_end(spark, sf_dir):
-    m, _ = matrix_from_measurements(*inputs.raw(spark, sf_dir), k=inputs.TOP)
+    m, _ = matrix_from_measurements(*inputs.raw(spark, sf_dir), on_duplicate="avg")
     return inputs.cells(m, "id", "label")

@@ -109,6 +109,7 @@ def ctas_replace(spark, sf_dir):
     return tables.replace_table(site_counts(inputs.labelled(spark, sf_dir)), target)
 
 
+# The declared schemas of the two result tables.
 BETAS_SCHEMA = ("case_barcode:STRING, beta_value:FLOAT, CpG_probe_id:STRING, aliquot_barcode:STRING, "
                 "sample_id:STRING, sample_status:STRING, row_number:INTEGER")
 METRICS_SCHEMA = ("FreewheelID:STRING, MaxAds:INTEGER, AdsSelected:INTEGER, AdDuration:INTEGER, MaxDuration:INTEGER, "
@@ -143,12 +144,13 @@ def rn_slice(spark, sf_dir):
 
 @query("slice_union", "SELECT * FROM betas", steps=("betas",))
 def slice_union(spark, sf_dir):
-    """Slices that touch and do not overlap add up to the table."""
+    """Slices that touch and do not overlap, and the rows without a number, add up to the table."""
     target = f"{shared_dir(spark)}/bucketed"
     tables.write_bucketed(inputs.betas(spark, sf_dir), target, **SMALL_BUCKETS)
     edges = [1, 21, 41, 1 << 40]
     return tables.append_slices([
-        tables.read_slice(spark, target, a, b - 1, **SMALL_BUCKETS) for a, b in zip(edges, edges[1:])])
+        *[tables.read_slice(spark, target, a, b - 1, **SMALL_BUCKETS) for a, b in zip(edges, edges[1:])],
+        tables.read_unnumbered(spark, target)])
 
 
 @query("text_sink", """
@@ -169,7 +171,7 @@ def step_read_transform_write(spark, sf_dir):
 
 def _wide(spark, sf_dir):
     m = inputs.matrix(spark, sf_dir, binary=False)
-    width = 64
+    width = m.agg(F.max(F.size("features"))).first()[0]
     project = F.when(F.col("label") < 5, "TCGA-BRCA").otherwise("TCGA-LUAD").alias("project_short_name")
     return m.select(F.col("id").cast("string").alias("id"), *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(width)],
                     F.col("label").cast("string").alias("label"), project)
@@ -372,38 +374,52 @@ def _parts(spark, sf_dir):
     return take_split(split_exact(impute_mean(inputs.matrix(spark, sf_dir))))
 
 
-@query("gbt_train")
+def _checked(scored):
+    """What must hold of any model's answers: one row per test row, a class that has the highest probability, and
+    probabilities that add up."""
+    highest = F.array_position("probability", F.array_max("probability")) - 1
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    said = F.get("probability", F.col("prediction"))
+    return scored.select("id", "label", F.col("prediction").isin(0, 1).alias("known_class"),
+                         ((highest == F.col("prediction")) | (said == F.array_max("probability"))).alias("most_likely"),
+                         (F.abs(total - 1) < 1e-6).alias("adds_up"))
+
+
+_TEST_ROWS = "SELECT id, label, true AS known_class, true AS most_likely, true AS adds_up FROM split_of WHERE is_test"
+
+
+@query("gbt_train", _TEST_ROWS, steps=("split_of",))
 def gbt_train(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     model = training.fit(training.boosted_trees(n_estimators=5, max_depth=3, gamma=0.0), train)
-    return training.score(model, test)
+    return _checked(training.score(model, test))
 
 
-@query("mlp_train")
+@query("mlp_train", _TEST_ROWS, steps=("split_of",))
 def mlp_train(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
-    model = training.fit(training.neural_net(64, steps=10), train)
-    return training.score(model, test)
+    model = training.fit(training.neural_net(64, steps=1000), train)
+    return _checked(training.score(model, test))
 
 
-@query("grid_search")
+@query("grid_search", _TEST_ROWS, steps=("split_of",))
 def grid_search(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     grid = {"max_depth": [2, 3], "n_estimators": [3]}
-    return training.score(training.grid_search(train, grid, folds=3).bestModel, test)
+    return _checked(training.score(training.grid_search(train, grid).bestModel, test))
 
 
-@query("random_search")
+@query("random_search", _TEST_ROWS, steps=("split_of",))
 def random_search(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     space = {**training.SPACE, "n_estimators": (2, 5, "integer"), "max_depth": (2, 3, "integer")}
-    return training.score(training.random_search(train, space=space).bestModel, test)
+    return _checked(training.score(training.random_search(train, space=space).bestModel, test))
 
 
-@query("score_saved_model")
+@query("score_saved_model", _TEST_ROWS, steps=("split_of",))
 def score_saved_model(spark, sf_dir):
     """Train, save, load, score."""
     train, test = _parts(spark, sf_dir)
     path = f"{shared_dir(spark)}/model"
     registry.save_model(training.fit(training.boosted_trees(n_estimators=2, max_depth=2), train), path)
-    return training.score(registry.load_model(path), test)
+    return _checked(training.score(registry.load_model(path), test))

@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+# Sample codes of the barcode format.
 _STATUS = """CASE WHEN substr({b},14,2) IN ('10','11','12','13','14','15','16','17','18','19') THEN 'normal'
    WHEN substr({b},14,2) IN ('01','02','03','04','05','06','07','08','09') THEN 'tumor' ELSE 'control' END"""
 
@@ -44,7 +45,9 @@ STEPS: dict[str, tuple[list[str], list[str], str]] = {
     "scores": ([], ["means"], """
         SELECT *, round(power(coalesce(t,a)-a,2) + power(coalesce(n,a)-a,2), 9) AS score FROM means"""),
     "top_sites": ([], ["scores"], """
-        SELECT CpG_probe_id FROM scores WHERE cpg_count / samples >= 0.9 ORDER BY score DESC, CpG_probe_id LIMIT 15"""),
+        SELECT CpG_probe_id FROM scores WHERE cpg_count / samples >= 0.9 ORDER BY score DESC, CpG_probe_id LIMIT 5000"""),
+    "cells": ([], ["betas"], """
+        SELECT aliquot_barcode, CpG_probe_id, avg(beta_value) AS beta_value FROM betas GROUP BY ALL"""),
     "site_idx": ([], ["top_sites"], """
         SELECT CpG_probe_id, row_number() OVER (ORDER BY CpG_probe_id) - 1 AS idx FROM top_sites"""),
     "two_class": (["fx_matrix"], [], """

@@ -20,6 +20,12 @@ def hash32(key: Column | str, salt: object) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def known_id(id_col: Column | str) -> Column:
+    """The id; a row without one is an error, because it would have no place in a hash order."""
+    name = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.when(name.isNull(), F.raise_error(F.lit("row without an id"))).otherwise(name)
+
+
 def uniform(key: Column | str, salt: object) -> Column:
     """A number in [0, 1) that depends only on the key and the salt."""
     return hash32(key, salt) / F.lit(float(HASH_RANGE))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -31,6 +32,18 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def clean_value(df: DataFrame, column: str) -> DataFrame:
+    """The frame with NaN as NULL in a number column; a column of another type cannot hold NaN."""
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return df.withColumn(column, nan_to_null(F.col(column)))
+    return df
+
+
+def clean_features(m: DataFrame, features: str = "features") -> DataFrame:
+    """The matrix with NaN as NULL."""
+    return m.withColumn(features, F.transform(features, nan_to_null))
+
+
 def derived_name(name: str) -> str:
     """Name of the transformed version of a feature."""
     return f"{name}_xf"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import HASH_RANGE, hash32
 from ..session import materialize
@@ -18,7 +19,10 @@ CHUNK = 1000
 
 def undersample(m: DataFrame, ratio: float = 0.5, seed: object = 7, id_col: str = "id",
                 label: str = "label") -> DataFrame:
-    """Reduce the larger class to ``floor(minority / ratio)`` rows, the first ones in seeded hash order."""
+    """Reduce the larger class to ``floor(minority / ratio)`` rows, the first ones in seeded hash order.
+
+    Rows without a label belong to no class and are left out.
+    """
     counts = class_counts(m, label)
     fewest = counts.agg(F.min("rows")).scalar()
     wanted = F.floor(F.col("_fewest") / F.lit(float(ratio))).cast("bigint")
@@ -98,8 +102,25 @@ def synthetic_rows(m: DataFrame, ratio: float = 0.5, k: int = 5, seed: object =
 
 def smote(m: DataFrame, ratio: float = 0.5, k: int = 5, seed: object = "smote", label: str = "label",
           **options) -> DataFrame:
-    """The rows plus the synthetic ones, which have a NULL id and their number in ``synthetic``."""
-    new = synthetic_rows(m, ratio, k, seed, label, **options)
+    """The rows plus the synthetic ones, which have their number within the class in ``synthetic``.
+
+    Synthetic rows have ids of their own, after all others: whole numbers go on from the highest, text ids begin with
+    ``~synthetic``. So the result can be split and folded like any matrix.
+    """
+    m = m if options.get("stored") else materialize(m)
+    new = synthetic_rows(m, ratio, k, seed, label, **{**options, "stored": True})
+    kind = m.schema["id"].dataType
+    if isinstance(kind, T.StringType):
+        own = F.concat_ws(":", F.lit("~synthetic"), F.lit(str(seed)), F.col(label).cast("string"),
+                          F.lpad(F.col("j").cast("string"), 12, "0"))
+    elif isinstance(kind, T.IntegralType):
+        counts = {r[label]: r["rows"] for r in class_counts(m, label).filter(F.col(label).isNotNull()).collect()}
+        begins, total = {}, 0
+        for c, n in sorted(oversampling_plan(counts, ratio).items()) if counts else []:
+            begins[c], total = total, total + n
+        highest = m.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        own = (highest + 1 + _by_class(label, begins) + F.col("j")).cast(kind)
+    else:
+        raise ValueError(f"no ids for synthetic rows beside ids of type {kind.simpleString()}")
     return m.select("id", label, "features", F.lit(None).cast("bigint").alias("synthetic")).unionByName(
-        new.select(F.lit(None).cast(m.schema["id"].dataType).alias("id"), label, "features",
-                   F.col("j").alias("synthetic")))
+        new.select(own.alias("id"), label, "features", F.col("j").alias("synthetic")))

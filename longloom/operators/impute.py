@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import clean_features
 from ..session import materialize
 from .matrix import column_stats, stats_array
 from .neighbours import BLOCK_ROWS, SPLIT_ROWS, nearest
@@ -20,11 +21,12 @@ def _fill(m: DataFrame, values: Column) -> DataFrame:
 
 def impute_mean(m: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """Column means, of this matrix or of ``fit_on``. A column without any value stays missing."""
-    return _fill(m, stats_array(column_stats(m if fit_on is None else fit_on), F.col("mean")))
+    m = clean_features(m)
+    return _fill(m, stats_array(column_stats(m if fit_on is None else clean_features(fit_on)), F.col("mean")))
 
 
 def impute_zero(m: DataFrame) -> DataFrame:
-    return m.withColumn("features", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))))
+    return clean_features(m).withColumn("features", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))))
 
 
 def _has_gap(features: Column) -> Column:
@@ -50,10 +52,10 @@ def impute_knn(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, stored
     """Fill each missing cell from the k nearest rows that have it, else by the column mean.
 
     The matrix is read several times (questions, candidates, means, filling), so it is written out first unless it is
-    ``stored`` already.
+    ``stored`` already, without NaN. NaN is a missing value for all ways of filling.
     """
-    m = m if stored else materialize(m)
-    donors = m if fit_on is None else fit_on
+    m = m if stored else materialize(clean_features(m))
+    donors = m if fit_on is None else clean_features(fit_on)
     cells = knn_cells(m, k, fit_on, block_rows, split_rows)
     length = donors.agg(F.max(F.size("features"))).scalar()
     fills = cells_to_vectors(cells, "id", length).withColumnRenamed("features", "_near")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import sample_code, sample_status
+from ..functions.numeric import clean_value
 from ..session import materialize_measured
 from .joins import BROADCAST_ROWS, broadcast_if_small, fan_out, multiplicity
 from .numbering import ordered_index
@@ -44,8 +45,8 @@ def _status_columns() -> list[Column]:
 
 
 def label_measurements(meth: DataFrame, annotation: DataFrame, gdc: DataFrame) -> DataFrame:
-    """Annotated measurements with sample code and status, without participant numbers."""
-    return annotated(meth, annotation, gdc).select(
+    """Annotated measurements with sample code and status, without participant numbers. NaN becomes NULL."""
+    return annotated(clean_value(meth, "beta_value"), annotation, gdc).select(
         "case_barcode", "beta_value", "CpG_probe_id", "aliquot_barcode", *_status_columns())
 
 

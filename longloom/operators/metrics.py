@@ -54,8 +54,8 @@ def f1_weighted(df: DataFrame, label: str = "label", prediction: str = "predicti
 
 def accuracy(df: DataFrame, by: list[str] | None = None, label: str = "label",
              prediction: str = "prediction") -> DataFrame:
-    """Share of right predictions, overall or per slice."""
-    right = F.avg((F.col(label) == F.col(prediction)).cast("int")).alias("accuracy")
+    """Share of right predictions, overall or per slice; a row without a prediction or label is not right."""
+    right = F.avg(F.coalesce(F.col(label) == F.col(prediction), F.lit(False)).cast("int")).alias("accuracy")
     rows = F.count(F.lit(1)).alias("rows")
     return df.groupBy(*by).agg(rows, right) if by else df.agg(rows, right)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import HASH_BITS, hash32
+from ..functions.hashing import HASH_BITS, hash32, known_id
 from ..session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above, the position in it below
@@ -46,11 +46,11 @@ def hash_rank(df: DataFrame, id_col: str, salt: object, by: str | None = None, o
 
     Rows are counted per slice of the hash range; the rank is the count of the slices before plus the position in the
     slice. A group of any size thus spreads evenly over ``2**bits`` slices, and no task sorts a whole group. NULL
-    groups are ranked among themselves.
+    groups are ranked among themselves; a NULL id is an error.
     """
     # never NULL, so that a plain equality joins on it and the rows keep the partitioning of the window
     group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("NULL")) if by else F.lit("")
-    keyed = df.withColumn("_g", group).withColumn("_h", hash32(id_col, salt))
+    keyed = df.withColumn("_g", group).withColumn("_h", hash32(known_id(id_col), salt))
     keyed = keyed.withColumn("_b", _buckets(bits, F.col("_h")))
     counts = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -69,10 +69,11 @@ def hash_cut(df: DataFrame, id_col: str, salt: object, quota: DataFrame, by: str
 
     ``quota`` has ``(g, quota)`` rows, g being the value of ``by`` (any one value without ``by``). The result has
     ``(g, cut_hash, cut_id)``, the last row within the quota; a group whose quota is 0 has no row. Counting hash
-    slices finds the slice with the cut, and only that slice, about a ``2**bits``-th of the group, is sorted.
+    slices finds the slice with the cut, and only that slice, about a ``2**bits``-th of the group, is sorted. A NULL id
+    is an error.
     """
     group = F.col(by) if by else F.lit(0)
-    keyed = df.select(group.alias("g"), F.col(id_col).alias("cut_id"), hash32(id_col, salt).alias("cut_hash"))
+    keyed = df.select(group.alias("g"), F.col(id_col).alias("cut_id"), hash32(known_id(id_col), salt).alias("cut_hash"))
     keyed = keyed.withColumn("b", _buckets(bits, F.col("cut_hash")))
     counts = keyed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
     upto = W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)

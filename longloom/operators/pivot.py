@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import broadcast_if_small
 
-# Beyond this many columns a wide frame loses code generation and every expression list grows with it.
-WIDE_LIMIT = 1000
+log = logging.getLogger(__name__)
 
 
 def keep_sites(betas: DataFrame, sites: DataFrame, site: str = "CpG_probe_id") -> DataFrame:
@@ -85,35 +86,36 @@ def pivot_vector(betas: DataFrame, index: DataFrame, row: str = "aliquot_barcode
     """``(row, label, features)``: the values of a sample at the indexed sites, NULL where it has none.
 
     A sample with several labels gives one row per label. Unindexed measurements are dropped in the scan's own tasks;
-    what is shuffled is the kept cells.
+    what is shuffled is the kept cells, by plain aggregates, and the distinct labels of samples beside them.
     """
     hits = betas.join(broadcast_if_small(index), site)
-    labels = F.collect_set(F.struct(F.col(label))).alias("_labels")
-    cells = unique_cells(hits, row, "idx", value, on_duplicate, also=[labels])
-    all_labels = F.array_distinct(F.flatten(F.collect_list("_labels"))).alias("_labels")
+    cells = unique_cells(hits, row, "idx", value, on_duplicate)
     length = index.agg(F.count(F.lit(1))).scalar()
-    rows = cells_to_vectors(cells, row, length, x=value, carry=[all_labels])
-    return rows.withColumn("_label", F.explode("_labels")).select(
-        row, F.col(f"_label.{label}").alias(label), "features")
+    rows = cells_to_vectors(cells, row, length, x=value)
+    labels = hits.select(F.col(row).alias("_row"), F.col(label)).distinct()
+    return rows.join(labels, F.col(row).eqNullSafe(F.col("_row"))).select(row, label, "features")
 
 
 def pivot_wide(betas: DataFrame, sites: DataFrame, row: str = "aliquot_barcode", site: str = "CpG_probe_id",
                value: str = "beta_value", on_duplicate: str = "error",
                order: list[Column] | None = None) -> DataFrame:
-    """One column per listed site, in list order; a site without values still gets its (NULL) column."""
-    listed = sites.orderBy(*(order or [F.col(site)])).select(site).limit(WIDE_LIMIT + 1)
-    names = [r[0] for r in listed.collect()]
-    if len(names) > WIDE_LIMIT:
-        raise ValueError(f"more than {WIDE_LIMIT} sites: use pivot_vector")
+    """One column per listed site, in list order; a site without values still gets its (NULL) column.
+
+    The list becomes the columns of a schema. With thousands of sites ``pivot_vector`` makes the lighter plan.
+    """
+    names = [r[0] for r in sites.orderBy(*(order or [F.col(site)])).select(site).collect()]
     cells = unique_cells(keep_sites(betas, sites, site), row, site, value, on_duplicate)
     return cells.groupBy(row).pivot(site, names).agg(F.max(value)).select(row, *[f"`{n}`" for n in names])
 
 
-def pivot_sum(df: DataFrame, rows: list[str], column: str, value: str, max_columns: int = 100,
+def pivot_sum(df: DataFrame, rows: list[str], column: str, value: str, max_columns: int | None = None,
               aggregation: str = "sum", limit: int | None = None) -> DataFrame:
-    """Pivot with an aggregate over at most ``max_columns`` columns: the first ones by name."""
-    listed = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(max_columns)
-    names = [r[0] for r in listed.collect()]
+    """Pivot with an aggregate over all columns, or over the first ``max_columns`` by name, which is logged."""
+    listed = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+    names = [r[0] for r in (listed.limit(max_columns + 1) if max_columns is not None else listed).collect()]
+    if max_columns is not None and len(names) > max_columns:
+        log.warning("pivot by %s: columns from %s on are left out", column, names[max_columns])
+        names = names[:max_columns]
     how = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[aggregation.lower()]
     out = df.groupBy(*rows).pivot(column, names).agg(how(value))
     return out.orderBy(*rows).limit(limit) if limit else out

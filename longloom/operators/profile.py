@@ -13,17 +13,38 @@ def _kind(dtype: T.DataType) -> str:
         return "BOOL"
     if isinstance(dtype, T.IntegralType):
         return "INT"
-    return "FLOAT" if isinstance(dtype, T.NumericType) else "STRING"
+    if isinstance(dtype, T.NumericType):
+        return "FLOAT"
+    for kind, name in _OTHER.items():
+        if isinstance(dtype, kind):
+            return name
+    return "STRING" if isinstance(dtype, T.StringType) else dtype.typeName().upper()
+
+
+_OTHER = {T.DateType: "DATE", T.TimestampType: "TIMESTAMP", T.TimestampNTZType: "TIMESTAMP", T.ArrayType: "ARRAY",
+          T.MapType: "MAP", T.StructType: "STRUCT", T.BinaryType: "BINARY"}
 
 
 def _kinds(df: DataFrame) -> dict[str, str]:
-    plain = (T.StringType, T.NumericType, T.BooleanType)
-    return {f.name: _kind(f.dataType) for f in df.schema if isinstance(f.dataType, plain)}
+    return {f.name: _kind(f.dataType) for f in df.schema}
+
+
+def _as_number(col: Column, kind: str) -> Column | None:
+    """A value as a number: dates and times are seconds since 1970."""
+    if kind in ("INT", "FLOAT"):
+        return col.cast("double")
+    if kind == "BOOL":
+        return col.cast("int").cast("double")
+    if kind in ("DATE", "TIMESTAMP"):
+        return F.unix_micros(col.cast("timestamp")) / F.lit(1e6)
+    return None
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per text, number or truth column: rows, missing, zeros, mean, deviation, least and greatest value,
-    text length.
+    """One row per column: rows, missing, zeros, mean, deviation, least and greatest value, length.
+
+    Dates and times are counted in seconds since 1970. The length is that of texts, binaries, arrays and maps. Columns
+    of other types have their rows and missing values counted.
 
     All columns are aggregated in a single pass over the data, one partial row per task.
     """
@@ -32,13 +53,13 @@ def profile(df: DataFrame) -> DataFrame:
     measures: list[Column] = []
     for i, (name, kind) in enumerate(kinds.items()):
         col = F.col(f"`{name}`")
-        if kind == "STRING":
-            numbers = [none, none, none, none, none]
-            text = F.avg(F.length(col))
-        else:
-            x = col.cast("int").cast("double") if kind == "BOOL" else col.cast("double")
+        numbers, text, x = [none] * 5, none, _as_number(col, kind)
+        if x is not None:
             numbers = [F.avg(x), F.stddev_pop(x), F.min(x), F.max(x), F.count_if(x == 0).cast("double")]
-            text = none
+        elif kind in ("STRING", "BINARY"):
+            text = F.avg(F.length(col))
+        elif kind in ("ARRAY", "MAP"):
+            text = F.avg(F.when(col.isNotNull(), F.size(col)))
         row = F.struct(
             F.lit(name).alias("column"), F.lit(kind).alias("type"), F.count(F.lit(1)).alias("rows"),
             F.count_if(col.isNull()).alias("missing"), numbers[0].alias("mean"), numbers[1].alias("std"),
@@ -51,11 +72,12 @@ def profile(df: DataFrame) -> DataFrame:
 
 def profile_quantiles(df: DataFrame, probabilities: tuple[float, ...] = (0.25, 0.5, 0.75),
                       accuracy: int = 10_000) -> DataFrame:
-    """Approximate quantiles of the number columns, off by at most ``rows / accuracy`` ranks; sketches merge, so one
+    """Approximate quantiles of the number, date and time columns, off by at most ``rows / accuracy`` ranks; sketches merge, so one
     pass does and no column is sorted."""
-    names = [n for n, kind in _kinds(df).items() if kind in ("INT", "FLOAT")]
+    kinds = {n: kind for n, kind in _kinds(df).items() if kind in ("INT", "FLOAT", "DATE", "TIMESTAMP")}
+    names = list(kinds)
     wanted = F.array(*[F.lit(p) for p in probabilities])
-    one = df.agg(*[F.percentile_approx(F.col(f"`{n}`").cast("double"), wanted, accuracy).alias(f"c{i}")
+    one = df.agg(*[F.percentile_approx(_as_number(F.col(f"`{n}`"), kinds[n]), wanted, accuracy).alias(f"c{i}")
                    for i, n in enumerate(names)])
     rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"c{i}").alias("q")) for i, n in enumerate(names)])
     out = one.select(F.inline(rows))

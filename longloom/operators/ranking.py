@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import stage_class, stage_classes, stage_of_sample
+from ..functions.numeric import clean_value
 from .joins import broadcast_if_small, multiplicity
 
 SCORE_DIGITS = 9
@@ -50,8 +51,9 @@ def group_means(df: DataFrame, classes: list[str], site: str = "CpG_probe_id", v
     """Per site: measurements, overall mean and the mean of every class, in one pass.
 
     Rows of other classes count towards the total and the overall mean. With ``weight`` a row stands for that many
-    equal rows.
+    equal rows. NaN is a missing value.
     """
+    df = clean_value(df, value)
     v, w = F.col(value), F.col(weight) if weight else None
     if w is None:
         total = F.count(F.lit(1) if count_nulls else v)

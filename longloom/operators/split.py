@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash32, uniform
+from ..functions.hashing import hash32, known_id, uniform
 from .numbering import hash_cut, hash_rank, ordered_index
 
 
@@ -17,25 +17,28 @@ def split_exact(m: DataFrame, test_size: float = 0.3, seed: object = 123, id_col
                 out: str = "is_test") -> DataFrame:
     """Mark exactly ``ceil(test_size * n)`` rows as test: the first ones in seeded hash order.
 
-    The rows are not sorted or moved. The last test row is looked up and each row compares itself with it.
+    The rows are not sorted or moved. The last test row is looked up and each row compares itself with it. A NULL id
+    is an error.
     """
     quota = m.agg(_share(F.count(F.lit(1)), test_size).alias("quota")).select(F.lit(0).alias("g"), "quota")
     cut = hash_cut(m, id_col, seed, quota).select(F.struct("cut_hash", "cut_id")).scalar()
-    own = F.struct(hash32(id_col, seed).alias("cut_hash"), F.col(id_col).alias("cut_id"))
+    own = F.struct(hash32(known_id(id_col), seed).alias("cut_hash"), F.col(id_col).alias("cut_id"))
     return m.withColumn("_cut", cut).withColumn(out, F.coalesce(own <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def split_hash(m: DataFrame, test_size: float = 0.3, seed: object = 123, id_col: str = "id",
                out: str = "is_test") -> DataFrame:
-    """Mark about ``test_size`` of the rows as test, each row on its own: no pass over the table."""
-    return m.withColumn(out, uniform(id_col, seed) < F.lit(float(test_size)))
+    """Mark about ``test_size`` of the rows as test, each row on its own: no pass over the table. A NULL id is an error."""
+    return m.withColumn(out, uniform(known_id(id_col), seed) < F.lit(float(test_size)))
 
 
 def split_ordered(m: DataFrame, test_size: float = 0.3, id_col: str = "id", out: str = "is_test") -> DataFrame:
-    """Mark the last ``ceil(test_size * n)`` rows in id order as test; ids are distinct.
+    """Mark the last ``ceil(test_size * n)`` rows in id order as test; ids are distinct, and a NULL id is an error.
 
-    On a training set with synthetic rows appended this tests on those rows; split first, then augment.
+    On a training set with synthetic rows appended, whose ids are the highest, this tests on those rows; split first,
+    then augment.
     """
+    m = m.withColumn(id_col, known_id(id_col))
     ids = ordered_index(m.select(id_col), id_col, out="_number")
     last = ids.agg((F.count(F.lit(1)) - _share(F.count(F.lit(1)), test_size)).alias("n")).scalar()
     cut = ids.withColumn("_last", last).filter(F.col("_number") == F.col("_last")).select(id_col).scalar()

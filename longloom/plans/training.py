@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.split import stratified_folds
+from ..operators.split import split_exact, split_ordered, stratified_folds
 
 MAX_TREE_DEPTH = 30  # what Spark ML trees allow
 
@@ -30,11 +33,14 @@ def boosted_trees(n_estimators: int = 100, learning_rate: float = 0.1, max_depth
     """Gradient-boosted trees by the usual boosting parameter names.
 
     ``colsample`` applies per node and ``min_child_weight`` counts rows; there is no L1 penalty on leaves. Large
-    feature counts need ``max_memory_mb`` so that a level of the tree is grown in few passes.
+    feature counts need ``max_memory_mb`` so that a level of the tree is grown in few passes. A fraction of
+    ``min_child_weight`` counts as the next whole row; deeper trees than ``MAX_TREE_DEPTH`` are an error.
     """
+    if int(max_depth) > MAX_TREE_DEPTH:
+        raise ValueError(f"trees have at most {MAX_TREE_DEPTH} levels, not {max_depth}")
     return GBTClassifier(
         featuresCol="input", labelCol="label", maxIter=int(n_estimators), stepSize=learning_rate,
-        maxDepth=min(int(max_depth), MAX_TREE_DEPTH), subsamplingRate=subsample,
+        maxDepth=int(max_depth), subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample) if colsample < 1 else "all", minInfoGain=gamma,
         minInstancesPerNode=max(1, math.ceil(min_child_weight)), seed=seed, maxMemoryInMB=max_memory_mb,
         checkpointInterval=checkpoint_interval)
@@ -94,12 +100,12 @@ def grid_search(train: DataFrame, grid: dict[str, list] | None = None, folds: in
         rows.unpersist()
 
 
-# The ranges of the random search as (low, high, kind).
+# The ranges of the random search as (low, high, kind); depths end where trees do.
 SPACE = {
     "n_estimators": (10, 1000, "integer"),
     "gamma": (0.001, 10.0, "log"),
     "min_child_weight": (0.001, 100.0, "log"),
-    "max_depth": (2, 50, "integer"),
+    "max_depth": (2, MAX_TREE_DEPTH, "integer"),
     "colsample": (0.2, 1.0, "linear"),
     "subsample": (0.2, 1.0, "linear"),
 }
@@ -119,22 +125,36 @@ def draw_params(trials: int, seed: int = 123, space: dict[str, tuple] | None = N
     return [{n: draw(*bounds) for n, bounds in (space or SPACE).items()} for _ in range(trials)]
 
 
+@dataclass
+class Searched:
+    """What a random search found."""
+
+    bestModel: PipelineModel
+    bestParams: dict[str, float]
+    metrics: list[float]
+
+
 def random_search(train: DataFrame, trials: int = 2, parallelism: int = 2, seed: int = 123,
-                  space: dict[str, tuple] | None = None):
-    """Try random parameters on one hold-out of 30 % by F1 and refit with the best."""
-    base = boosted_trees(seed=seed)
-    maps = []
-    for params in draw_params(trials, seed, space):
-        tried = boosted_trees(**params, seed=seed)
-        names = ("maxIter", "minInfoGain", "minInstancesPerNode", "maxDepth", "featureSubsetStrategy",
-                 "subsamplingRate")
-        maps.append({base.getParam(n): tried.getOrDefault(n) for n in names})
+                  space: dict[str, tuple] | None = None, hold_out: str = "ordered") -> Searched:
+    """Try random parameters on one hold-out of 30 % by F1 and refit with the best, the first of equals.
+
+    ``hold_out`` is ``ordered``, the last rows in id order, or ``hash``, the first in seeded hash order.
+    """
+    split = {"ordered": split_ordered, "hash": split_exact}[hold_out]
+    rows = with_vectors(split(train, 0.3)).select("label", "input", "is_test").persist()
     evaluator = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
                                                   metricName="fMeasureByLabel", metricLabel=1.0)
-    rows = with_vectors(train).select("label", "input").persist()
+    drawn = draw_params(trials, seed, space)
+
+    def tried(params: dict[str, float]) -> float:
+        model = boosted_trees(**params, seed=seed).fit(rows.filter(~F.col("is_test")))
+        return evaluator.evaluate(model.transform(rows.filter("is_test")))
+
     try:
-        search = TrainValidationSplit(estimator=base, estimatorParamMaps=maps, evaluator=evaluator, trainRatio=0.7,
-                                      parallelism=parallelism, seed=seed)
-        return search.fit(rows)
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(inheritable_thread_target(train.sparkSession)(tried), drawn)
+        best = drawn[max(range(trials), key=lambda i: (found[i], -i))]
+        model = Pipeline(stages=[boosted_trees(**best, seed=seed)]).fit(rows)
     finally:
         rows.unpersist()
+    return Searched(model, best, found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ SETTINGS = {
 }
 
 
+_own_bases: dict[str, str] = {}  # temporary folders of local applications
+
+
 def get_session(app: str = "longloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -29,14 +33,15 @@ def get_session(app: str = "longloom", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """A new folder every executor can reach, within one folder per application that can be removed afterwards.
 
-    It lies under ``spark.checkpoint.dir`` as the session names it. Only a local session that names none gets a
-    temporary folder; a cluster that names none is an error, because a machine-local folder would lose the data.
+    It lies under ``spark.checkpoint.dir`` as the session names it. Only a session within one process that names none
+    gets a temporary folder, one for all its frames; a cluster that names none is an error, because a machine-local
+    folder would lose the data.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_bases.get(spark.sparkContext.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="longloom-")
+        base = _own_bases[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="longloom-")
     return f"{base.rstrip('/')}/longloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 

@@ -134,6 +134,11 @@ def read_slice(spark: SparkSession, source: str, first: int, last: int, number:
     return df.filter(folders & F.col(number).between(first, last)).drop(bucket)
 
 
+def read_unnumbered(spark: SparkSession, source: str, number: str = "row_number", bucket: str = "rn_bucket") -> DataFrame:
+    """The slice of a bucketed table that no range has: rows without a number, in the NULL folder."""
+    return spark.read.parquet(source).filter(F.col(bucket).isNull() & F.col(number).isNull()).drop(bucket)
+
+
 def append_slices(slices: list[DataFrame]) -> DataFrame:
     """All rows of several slices, columns matched by name."""
     out = slices[0]

@@ -165,7 +165,25 @@ def test_searches(spark):
 
 
 def test_estimator_parameters():
-    trees = training.boosted_trees(max_depth=50, min_child_weight=0.2, colsample=1)
+    trees = training.boosted_trees(max_depth=30, min_child_weight=0.2, colsample=1)
     assert trees.getMaxDepth() == 30 and trees.getMinInstancesPerNode() == 1
     assert trees.getFeatureSubsetStrategy() == "all"
     assert training.neural_net(10).getLayers() == [10, 16, 8, 2]
+
+
+def test_accuracy_counts_missing_predictions_as_wrong(spark):
+    df = spark.createDataFrame([(1, 1), (1, None), (1, 0), (1, 1)], "label int, prediction int")
+    assert metrics.accuracy(df).first().asDict() == {"rows": 4, "accuracy": 0.5}
+
+
+def test_profile_of_every_type(spark):
+    df = spark.sql("""SELECT * FROM VALUES (DATE'1970-01-02', TIMESTAMP'1970-01-01 00:01:00', array(1, 2), map('a', 1), true),
+        (DATE'1970-01-04', NULL, NULL, map(), false) AS t(d, ts, a, m, b)""")
+    got = {r["column"]: r for r in profile.profile(df).collect()}
+    assert (got["d"].type, got["d"].min, got["d"].max) == ("DATE", 86400.0, 259200.0)
+    assert (got["ts"].type, got["ts"].mean, got["ts"].missing) == ("TIMESTAMP", 60.0, 1)
+    assert (got["a"].type, got["a"].avg_length, got["m"].avg_length) == ("ARRAY", 2.0, 0.5)
+    lost = profile.anomalies(df.drop("d", "m"), profile.infer_schema(df)).collect()
+    assert {(r["column"], r.anomaly) for r in lost} >= {("d", "missing_column"), ("m", "missing_column")}
+    quantiles = {(r["column"], r.probability): r.value for r in profile.profile_quantiles(df, (0.5,)).collect()}
+    assert quantiles["d", 0.5] == 86400.0

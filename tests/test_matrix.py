@@ -214,7 +214,7 @@ def test_preprocess(spark, fit_on):
     x[:30, 0] = np.nan
     labels = [None] + [1] * 45 + [0] * 14
     done = preparation.preprocess(frame(spark, x, labels), threshold=0.25, balance="smote", ratio=0.6, fit_on=fit_on)
-    train, test = array(done.train.filter("id IS NOT NULL")), array(done.test)
+    train, test = array(done.train.filter("synthetic IS NULL")), array(done.test)
     assert train.shape[1] == test.shape[1] == 4 and not np.isnan(train).any() and not np.isnan(test).any()
     assert np.allclose(train.mean(axis=0), 0) and np.allclose(train.std(axis=0), 1)
     counts = {r.label: r["count"] for r in done.train.groupBy("label").count().collect()}
@@ -222,5 +222,37 @@ def test_preprocess(spark, fit_on):
 
 
 def test_prepare_labelled(spark):
-    out = preparation.prepare_labelled(frame(spark, gappy(20, 4, 0.05), [1, None] * 10), threshold=0.5, fill="mean")
+    index = spark.createDataFrame([(f"s{i}", i) for i in range(4)], "CpG_probe_id string, idx int")
+    m = frame(spark, gappy(20, 4, 0.05), [1, None] * 10)
+    m = m.withColumn("features", F.transform("features", lambda x, i: F.when(i != 2, x)))
+    out, left = preparation.prepare_labelled(m, index, threshold=0.5, fill="mean")
+    assert [tuple(r) for r in left.orderBy("idx").select("CpG_probe_id", "idx").collect()] == [("s0", 0), ("s1", 1), ("s3", 2)]
     assert out.count() == 10 and dict(out.dtypes)["label"] == "int"
+
+
+def test_synthetic_rows_take_part_in_folds_and_splits(spark):
+    rows = frame(spark, np.random.default_rng(1).normal(size=(40, 3)), [1] * 32 + [0] * 8)
+    for kind in ("bigint", "string"):
+        m = balance.smote(rows.withColumn("id", F.col("id").cast(kind)), ratio=0.6)
+        n = m.count()
+        assert n > 40 and m.select("id").distinct().count() == n and m.filter("id IS NULL").count() == 0
+        folds = split.stratified_folds(m)
+        assert folds.count() == n
+        marked = split.split_ordered(m)
+        assert marked.filter("is_test").count() == -(-3 * n // 10)
+        assert split.split_exact(m).filter("is_test").count() == -(-3 * n // 10)
+
+
+def test_ids_must_be_known(spark):
+    m = spark.createDataFrame([(None, 1, [1.0]), (2, 0, [2.0])], "id bigint, label int, features array<double>")
+    for way in (split.split_exact, split.split_ordered, split.split_hash, split.stratified_folds, balance.undersample):
+        with pytest.raises(Exception, match="without an id"):
+            way(m).collect()
+
+
+def test_nan_is_filled(spark):
+    m = spark.createDataFrame([(1, 0, [1.0, float("nan")]), (2, 0, [3.0, 4.0]), (3, 0, [float("nan"), 8.0])],
+                              "id bigint, label int, features array<double>")
+    for fill, expected in (("mean", 6.0), ("zero", 0.0), ("knn", 4.0)):
+        got = {r["id"]: r["features"] for r in impute.impute(m, fill).collect()}
+        assert got[1] == [1.0, expected], fill

@@ -179,10 +179,29 @@ def test_two_labels_give_two_rows(spark):
     assert pivot.labelled_pivot(wide, df).count() == 2
 
 
-def test_wide_pivot_refuses_too_many_sites(spark):
-    sites = spark.range(pivot.WIDE_LIMIT + 1).select(F.col("id").cast("string").alias("CpG_probe_id"))
-    with pytest.raises(ValueError, match="pivot_vector"):
-        pivot.pivot_wide(betas_frame(spark), sites)
+def test_wide_pivot_has_a_column_for_each_of_many_sites(spark):
+    sites = spark.range(1500).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("CpG_probe_id"))
+    sites = sites.unionByName(betas_frame(spark).select("CpG_probe_id").distinct())
+    out = pivot.pivot_wide(betas_frame(spark), sites)
+    assert len(out.columns) == 1 + sites.count()
+
+
+def test_pivot_sum_has_all_columns_unless_told(spark):
+    df = spark.range(150).select(F.lit("r").alias("r"), F.format_string("c%03d", "id").alias("c"), F.lit(1.0).alias("x"))
+    assert len(pivot.pivot_sum(df, ["r"], "c", "x").columns) == 151
+
+
+def test_vector_pivot_uses_plain_aggregates_for_cells(spark, capsys):
+    df = betas_frame(spark)
+    pivot.pivot_vector(df, pivot.site_index(df.select("CpG_probe_id").distinct()), on_duplicate="avg").explain()
+    assert capsys.readouterr().out.count("ObjectHashAggregate") <= 2  # the two halves of collecting a row's cells
+
+
+def test_nan_is_missing(spark):
+    df = betas_frame(spark)
+    worse = df.withColumn("beta_value", F.when(F.col("beta_value").isNull(), F.lit(float("nan"))).otherwise(F.col("beta_value")))
+    a, b = (ranking.group_means(d, ["tumor", "normal"]).orderBy("CpG_probe_id").collect() for d in (df, worse))
+    assert a == b
 
 
 def test_pivot_sum_takes_first_columns_and_limit(spark):

@@ -109,3 +109,49 @@ def test_shared_dir_follows_the_session(spark, tmp_path):
     assert old is None or session.shared_dir(spark).startswith(old)
     df, seen = session.materialize_measured(spark.range(7), top=F.max("id"))
     assert df.count() == 7 and seen == {"rows": 7, "top": 6}
+
+
+def test_lines_that_do_not_fit_are_listed(spark, tmp_path):
+    (tmp_path / "p0.csv").write_text("id,f1,f2,label\nx,1,2,a\ny,3\nz,4,oops,b\nw,1,2,c,9\n\"q,q\",5,nan,d\n")
+    (tmp_path / "p1.csv").write_text("label,f2,f1,id\ne,7,8,v\n")
+    paths = [str(tmp_path / f"p{i}.csv") for i in range(2)]
+    rows = matrix_csv.read_matrix_parts(spark, paths, "id", ("label",))
+    vectors, _ = matrix_csv.wide_to_vectors(rows, "id", ("label",))
+    assert {r.id: (r.features, r.label) for r in vectors.collect()} == {
+        "x": ([1.0, 2.0], "a"), "y": ([3.0, None], None), "q,q": ([5.0, None], "d"), "v": ([8.0, 7.0], "e")}
+    assert {r.line for r in matrix_csv.rejected_lines(spark, paths, "id", ("label",)).collect()} == {"z,4,oops,b", "w,1,2,c,9"}
+
+
+def test_files_of_one_matrix_have_one_order(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,f1,f2,label\nx,1,2,a\n")
+    (folder / "b.csv").write_text("id,f2,f1,label\ny,1,2,a\n")
+    with pytest.raises(Exception):
+        matrix_csv.read_matrix_csv(spark, str(folder), "id", ("label",)).collect()
+
+
+def test_vectors_to_wide_csv(spark, tmp_path):
+    width = 5000
+    m = spark.createDataFrame([("a", [float(i) for i in range(width)], "0"), ("b,c", [None] * width, 'say "1"')],
+                              "id string, features array<double>, label string")
+    target = str(tmp_path / "wide")
+    matrix_csv.write_vectors_csv(m, [f"f{i}" for i in range(width)], target)
+    lines = [x for p in sorted((tmp_path / "wide").glob("*.csv")) for x in p.read_text().splitlines()]
+    assert lines[0].startswith("id,f0,f1,") and lines[0].endswith(",f4999,label")
+    back = matrix_csv.wide_to_vectors(matrix_csv.read_matrix_csv(spark, target, "id", ("label",)), "id", ("label",))[0]
+    assert {r.id: (r.features, r.label) for r in back.collect()} == {r.id: (r.features, r.label) for r in m.collect()}
+
+
+def test_slices_and_unnumbered_rows_add_up(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (5, "b"), (None, "c"), (20000, "d")], "row_number bigint, v string")
+    target = str(tmp_path / "bucketed")
+    tables.write_bucketed(df, target)
+    parts = [tables.read_slice(spark, target, 1, 4), tables.read_slice(spark, target, 5, 1 << 40),
+             tables.read_unnumbered(spark, target)]
+    assert sorted(r.v for r in tables.append_slices(parts).collect()) == ["a", "b", "c", "d"]
+
+
+def test_one_folder_per_session(spark):
+    a, b = session.shared_dir(spark), session.shared_dir(spark)
+    assert a != b and a.rpartition("/")[0] == b.rpartition("/")[0]
