@@ -283,11 +283,11 @@ def train(counts: DataFrame) -> DataFrame:
 
     sums = keyed.groupBy("suffix").applyInPandas(summed, "last int, node int, n0 double, n1 double, longer double")
     rows = sums.groupBy("last", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "longer")]).toPandas()
-    top = counts.sparkSession.sparkContext.broadcast(Top(*(rows[c].to_numpy() for c in rows)))  # 256 x 255 rows at most
+    top = Top(*(rows[c].to_numpy() for c in rows))  # 256 x 255 rows at most
 
     def predicted(group: pd.DataFrame) -> pd.DataFrame:
         keys = group["item"].to_numpy()
-        return pd.DataFrame({"item": keys, "value": top.value.log10(keys, Subtree(keys, group["n"].to_numpy()))})
+        return pd.DataFrame({"item": keys, "value": top.log10(keys, Subtree(keys, group["n"].to_numpy()))})
 
     return keyed.groupBy("suffix").applyInPandas(predicted, "item long, value double")
 

@@ -173,15 +173,12 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, cut: int, least: float
     columns and other columns' names make no difference, but a column ``graded`` is replaced; an empty table gives an
     empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights
-
     @F.pandas_udf("expected_grade double, tail_probability double, selected boolean")
     def graded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
         for part in texts:
-            scores = np.array([own.score(*features(t)) for t in part], dtype=float)
-            tail = own.tail(scores, cut)
-            yield pd.DataFrame({"expected_grade": own.expected_grade(scores), "tail_probability": tail,
+            scores = np.array([model.score(*features(t)) for t in part], dtype=float)  # DIM weights go with the task
+            tail = model.tail(scores, cut)
+            yield pd.DataFrame({"expected_grade": model.expected_grade(scores), "tail_probability": tail,
                                 "selected": tail >= least})
 
     return docs.withColumn("graded", graded(F.col(text_col)))

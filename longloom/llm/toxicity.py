@@ -251,10 +251,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     model = fit_field(pieces.column("words").to_pylist(), pieces.column("marks").to_pylist())
 
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Evidence(shared.value)
+        known = Evidence(model)
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 some = batch.slice(i, BATCH)
@@ -297,11 +296,9 @@ def score_toxicity(docs: DataFrame, model: ToxicField, text_col: str = "text") -
     document whose words are surely plain. Repeated rows, NULL in other columns and other columns' names make no
     difference, but a column ``toxicity`` is replaced. An empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights
-
     @F.pandas_udf("score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = Evidence(shared.value)
+        known = Evidence(model)  # DIM weights go with the task
         for part in parts:
             scores, found = [], []
             for i in range(0, len(part), BATCH):
