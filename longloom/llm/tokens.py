@@ -16,7 +16,7 @@ import numpy as np
 
 from .worker import kept
 
-CACHE_WORDS = 1_000_000  # remembered words of a worker, about 250 MB; beyond, the next batch begins anew
+CACHE_WORDS = 600_000  # remembered words of a worker, about 150 MB; beyond, the next batch begins anew
 CHUNK_WORDS = 4_000
 BATCH_TEXTS = 500
 
@@ -36,6 +36,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # a vocabulary that drops white space gives "a b" and "a  b" the same ids
         self.spaced = self._encode("a b") != self._encode("a  b")
+        self.folded = self._encode("A b") == self._encode("a b")
         self.between = "\n" if self.spaced else f" {_MARK} "
         self.border = np.frombuffer(self._encode(self.between.strip(" ")), "<u4")[0]
 
@@ -45,37 +46,49 @@ class WordIds(dict):
     def split(self, text: str) -> list[str]:
         if self.spaced:
             return _SPACED.findall(text)
+        if self.folded and text.isascii() and "<" not in text:  # the names of special tokens have a case
+            text = text.lower()
         for c in _SPACE[1:]:
             text = text.replace(c, " ")
         return [w for w in text.split(" ") if w]
 
-    def _stem(self, word: str) -> tuple[str, str]:
-        """A full stop or comma after a letter is a token of its own; where white space is dropped, case is, too."""
-        tail = ""
-        if word[-1] in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha():
-            word, tail = word[:-1], word[-1]
-        return word.lower() if not self.spaced and word.isascii() and _MARK not in word and "<" not in word else word, tail
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Fill in the ids of words that are not known yet."""
-        stems = [(w, *self._stem(w)) for w in words]
-        wanted = {part for _, *parts in stems for part in parts if part and part not in self}
-        alone = [w for w in wanted if _MARK in w or w.strip(_SPACE) != w.removeprefix(" ") or w == " "]
-        for word in alone:
+    def learn(self, words: set[str]) -> None:
+        """Fill in the ids of words that are not known yet.
+
+        A full stop or comma after a letter is a token of its own, and case may not matter, so fewer are encoded.
+        """
+        wanted, alone, tails, cased = set(), [], [], []
+        for w in words:
+            if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha():
+                tails.append(w)
+                w = w[:-1]
+                if w in self:
+                    continue
+            if self.folded and w.isascii() and "<" not in w and not w.islower():
+                cased.append(w)
+                w = w.lower()
+                if w in self:
+                    continue
+            wanted.add(w)
+        if self.spaced:
+            alone = [w for w in wanted if _MARK in w or not w.strip(_SPACE) or w.strip(_SPACE) != w.removeprefix(" ")]
+        else:
+            alone = [w for w in wanted if _MARK in w]
+        wanted.difference_update(alone)
+        for word in [*alone, ".", ","]:
             self[word] = self._encode(word)
-        together = list(wanted.difference(alone))
+        together = list(wanted)
         for i in range(0, len(together), CHUNK_WORDS):
             chunk = together[i:i + CHUNK_WORDS]
             text = self.between.join(chunk) + self.between
-            ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (4 * np.flatnonzero(ids == self.border)).tolist()
-            buffer, start = ids.tobytes(), 0
-            for word, end in zip(chunk, ends, strict=True):
-                self[word] = buffer[start:end]
-                start = end + 4
-        for word, stem, tail in stems:
-            if word not in self:
-                self[word] = self[stem] + (self[tail] if tail else b"")
+            buffer, starts = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
+            self.update(zip(chunk, [buffer[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        for w in cased:
+            self[w] = self[w.lower()]
+        for w in tails:
+            self[w] = self[w[:-1]] + self[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; None is an empty text."""
@@ -84,10 +97,15 @@ class WordIds(dict):
         out = []
         for i in range(0, len(texts), BATCH_TEXTS):
             split = [self.split(t) if t else [] for t in texts[i:i + BATCH_TEXTS]]
-            unknown = set().union(*split).difference(self)
+            found = [list(map(self.get, words)) for words in split]
+            holes = [[k for k, ids in enumerate(own) if ids is None] for own in found]
+            unknown = {words[k] for words, own in zip(split, holes, strict=True) for k in own}
             if unknown:
                 self.learn(unknown)
-            out += [b"".join([self[w] for w in words]) for words in split]
+            for words, ids, own in zip(split, found, holes, strict=True):
+                for k in own:
+                    ids[k] = self[words[k]]
+                out.append(b"".join(ids))
         return out
 
 
