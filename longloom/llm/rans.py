@@ -32,6 +32,7 @@ LANES = 1024
 BLOCK_IDS = 1 << 18
 GROUP_IDS = 1 << 22  # a group ends with the document that reaches this
 CHECKPOINT_STEPS = 128
+DENSE_IDS = 1 << 22  # below, symbols are found in a plain table
 ROWS = 512
 
 _BLOCK = T.StructType([
@@ -46,10 +47,16 @@ class Table:
     def __init__(self, symbols: np.ndarray, freq: np.ndarray):
         self.symbols, self.freq = symbols, freq.astype(np.uint64)
         self.begin = np.cumsum(self.freq) - self.freq
+        self.dense: np.ndarray | None = None
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+        if ids.max() < DENSE_IDS:
+            counts = np.bincount(ids)
+            symbols = np.flatnonzero(counts)
+            counts = counts[symbols]
+        else:
+            symbols, counts = np.unique(ids, return_counts=True)
         if len(symbols) > 1 << (BITS - 1):
             raise ValueError(f"more than {1 << (BITS - 1)} different ids in a group")
         # one for each symbol, the rest in proportion, what rounding leaves to the most frequent one
@@ -58,6 +65,15 @@ class Table:
         freq[np.argmax(counts)] += (1 << BITS) - freq.sum()
         return cls(symbols.astype(np.uint32), freq)
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """The places of ids among the symbols."""
+        if self.symbols[-1] >= DENSE_IDS:
+            return np.searchsorted(self.symbols, ids)
+        if self.dense is None:
+            self.dense = np.zeros(int(self.symbols[-1]) + 1, dtype=np.int32)
+            self.dense[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
+        return self.dense[ids]
+
     def pack(self) -> bytes:
         steps = np.diff(self.symbols.astype(np.int64), prepend=0).astype("<u4")
         return zlib.compress(steps.tobytes() + self.freq.astype("<u4").tobytes(), 6)
@@ -73,7 +89,7 @@ def encode_block(ids: np.ndarray, table: Table) -> dict:
     n = len(ids)
     lanes = min(LANES, 1 << max(0, (n // 64).bit_length() - 1))
     steps = -(-n // lanes)
-    which = np.searchsorted(table.symbols, ids)
+    which = table.places(ids)
     padded = np.full(steps * lanes, np.argmax(table.freq))
     padded[:n] = which
     freq, begin = table.freq[padded].reshape(steps, lanes), table.begin[padded].reshape(steps, lanes)
