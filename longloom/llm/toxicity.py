@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 DIM = 1 << 18
-SAMPLE_ROWS = 4000  # documents of either label
+SAMPLE_ROWS = 2000  # documents of either label
 SEED_DOCS = 5  # toxic documents with a feature, at least
 SEED_SHARE = 0.9  # of the documents with a feature, as many being toxic, both labels weighing alike
 SEED_LIMIT = 20_000  # features kept, those with the most toxic documents
 PIECE = 32  # tokens of a piece to learn from
-PIECES = 3  # pieces of a document
+PIECES = 2  # pieces of a document
 CHUNK = 64
 CACHE_WORDS = 500_000
 BATCH = 512  # documents scored in one step
@@ -160,7 +160,7 @@ class Evidence(dict):
         return value
 
 
-def fit_field(words: list[list[str]], labels: list[list[int]], steps: int = 150, rate: float = 0.1,
+def fit_field(words: list[list[str]], labels: list[list[int]], steps: int = 80, rate: float = 0.1,
               penalty: float = 1e-5) -> ToxicField:
     """Maximum likelihood of token labels with Adam; the gradient is observed minus expected counts."""
     model = ToxicField()
