@@ -36,7 +36,7 @@ from ..session import materialize
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
-PIECE_BYTES = 2 << 20  # bytes of a block looked at in one step
+PIECE_BYTES = 1 << 20  # bytes of a block looked at in one step
 HEAD_KEYS = 1 << 19
 HEAD_WORDS = 1 << 17
 END = b"\n"
@@ -272,7 +272,7 @@ class Top:
 
 
 def train(counts: DataFrame) -> DataFrame:
-    """``item, value``: the log10 probability of each counted string's last byte (``item``, ``n`` in ``counts``)."""
+    """``item, n, value``: the log10 probability of each counted string's last byte (``item``, ``n`` in ``counts``)."""
     suffix = F.shiftright("item", 8).bitwiseAND(F.lit(0xFFFF)).alias("suffix")
     keyed = counts.select(suffix, "item", "n")
 
@@ -286,10 +286,10 @@ def train(counts: DataFrame) -> DataFrame:
     top = Top(*(rows[c].to_numpy() for c in rows))  # 256 x 255 rows at most
 
     def predicted(group: pd.DataFrame) -> pd.DataFrame:
-        keys = group["item"].to_numpy()
-        return pd.DataFrame({"item": keys, "value": top.log10(keys, Subtree(keys, group["n"].to_numpy()))})
+        keys, n = group["item"].to_numpy(), group["n"].to_numpy()
+        return pd.DataFrame({"item": keys, "n": n, "value": top.log10(keys, Subtree(keys, n))})
 
-    return keyed.groupBy("suffix").applyInPandas(predicted, "item long, value double")
+    return keyed.groupBy("suffix").applyInPandas(predicted, "item long, n long, value double")
 
 
 # scoring
@@ -301,7 +301,7 @@ class KeyTable:
     EMPTY = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, self.EMPTY)
         self.values = np.zeros(1 << self.bits)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -359,12 +359,13 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         return keys.astype(np.int64), n
 
     def counted(rows: DataFrame) -> DataFrame:
-        return materialize(rows.groupBy("item").agg(F.sum("n").alias("n")))
+        # a block has one row for each of its items
+        return materialize(rows.groupBy("item").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")))
 
     words = counted(_per_block(blocks, sorted_words, T.BinaryType(), pa.binary(), "n"))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     strings = counted(_per_block(blocks, signed_keys, T.LongType(), pa.int64(), "n"))
-    values = materialize(train(strings).join(strings, "item"))
+    values = materialize(train(strings))
 
     top_keys = values.orderBy(F.desc("n"), "item").limit(HEAD_KEYS).select("item", "value").toArrow()
     top_words = words.orderBy(F.desc("n"), "item").limit(HEAD_WORDS).select("item", "n").toArrow()
@@ -387,7 +388,9 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
 
     key_slices = _per_block(blocks, other_keys, T.LongType(), pa.int64(), "none").join(values, "item").select(
         "block", "item", F.lit(None).cast("binary").alias("word"), "value")
-    word_slices = _per_block(blocks, other_words, T.BinaryType(), pa.binary(), "none").join(words, "item").select(
+    # words of one block only are counted there
+    shared_words = words.filter("blocks > 1")
+    word_slices = _per_block(blocks, other_words, T.BinaryType(), pa.binary(), "none").join(shared_words, "item").select(
         "block", F.lit(None).cast("bigint").alias("item"), F.col("item").alias("word"), F.col("n").cast("double").alias("value"))
     base_of = lambda c: math.log10((c + 1) / (n + v + 1))
 
@@ -396,19 +399,20 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         own = right["word"].isna().to_numpy()
         table = KeyTable(np.concatenate([keys, right["item"].to_numpy()[own].astype(np.uint64)]),
                          np.concatenate([values, right["value"].to_numpy()[own]]))
-        counts = {**counts, **dict(zip(right["word"][~own], right["value"][~own], strict=True))}
         base = {w: base_of(c) for w, c in counts.items()}
-        out = []
+        base.update((w, base_of(c)) for w, c in zip(right["word"][~own], right["value"][~own], strict=True))
+        zero, out = base_of(0), []
         for row in left.itertuples():
             texts = unpack(row.sizes, row.body)
+            mine = Counter(w for t, apart in zip(texts, row.held, strict=True) if not apart for w in tokens(t) if w not in base)
+            base.update((w, base_of(c)) for w, c in mine.items())
             for a, b in pieces(texts):
                 sizes = np.array([len(t) for t in texts[a:b]])
                 logs = np.add.reduceat(table.get(keys_of(texts[a:b]))[0], np.cumsum(sizes) - sizes)
                 for i, text in enumerate(texts[a:b]):
-                    parts = tokens(text)
-                    out.append((row.ids[a + i], row.held[a + i], len(text), len(parts),
-                                len(parts) - sum(1 for w in parts if not counts[w]), n,
-                                sum(map(base.__getitem__, parts)), logs[i], -logs[i] / math.log10(2) / len(text)))
+                    parts = [base.get(w, zero) for w in tokens(text)]
+                    out.append((row.ids[a + i], row.held[a + i], len(text), len(parts), len(parts) - parts.count(zero), n,
+                                sum(parts), logs[i], -logs[i] / math.log10(2) / len(text)))
         return pd.DataFrame(out, columns=schema.names)
 
     schema = T.StructType([
