@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import HASH_RANGE, hash32
 from ..session import materialize
 from .matrix import class_counts
-from .neighbours import BLOCK_ROWS, SPLIT_ROWS, nearest
+from .neighbours import SPLIT_ROWS, block_rows_for, nearest
 from .numbering import hash_cut, hash_rank
 
 # Class vectors up to this many values (64 MB) are broadcast, more are joined by shuffle.
@@ -51,7 +51,7 @@ def _by_class(label: str, values: dict[object, int]) -> Column:
 
 
 def synthetic_rows(m: DataFrame, ratio: float = 0.5, k: int = 5, seed: object = "smote", label: str = "label",
-                   stored: bool = False, block_rows: int = BLOCK_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+                   stored: bool = False, block_rows: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``(label, j, features)``: new rows between a row of a small class and one of its k nearest classmates.
 
     Row j of a class starts from class member j mod c (in seeded hash order), picks a neighbour and goes a share of
@@ -72,7 +72,8 @@ def synthetic_rows(m: DataFrame, ratio: float = 0.5, k: int = 5, seed: object =
     bases = hash_rank(rows.select("id", label, "features"), "id", seed, by=label, out="_rank")
     bases = bases.withColumn("_r", F.col("_rank") - 1).filter(member < most_new)
     sizes = {c: (min(counts[c], n), counts[c]) for c, n in new.items()}
-    near = nearest(bases, rows, sizes, k, per_gap=False, group=label, block_rows=block_rows, split_rows=split_rows)
+    near = nearest(bases, rows, sizes, k, per_gap=False, group=label,
+                   block_rows=block_rows or block_rows_for(width or 0), split_rows=split_rows)
 
     # number the new rows of each base: r, r + c, r + 2c, ...
     todo = bases.select("id", label, "_r", F.ceil((most_new - member) / total).cast("bigint").alias("_todo"))

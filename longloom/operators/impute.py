@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clean_features
 from ..session import materialize
 from .matrix import column_stats, stats_array
-from .neighbours import BLOCK_ROWS, SPLIT_ROWS, nearest
+from .neighbours import SPLIT_ROWS, block_rows_for, nearest
 from .pivot import cells_to_vectors
 
 
@@ -33,7 +33,7 @@ def _has_gap(features: Column) -> Column:
     return F.exists(features, lambda x: x.isNull())
 
 
-def knn_cells(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
+def knn_cells(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, block_rows: int | None = None,
               split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``(id, idx, x)`` for every missing cell that has a donor: the mean over its k nearest donors.
 
@@ -41,14 +41,16 @@ def knn_cells(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, block_r
     """
     donors = m if fit_on is None else fit_on
     asking = m.filter(_has_gap(F.col("features")))
-    sizes = {None: (asking.count(), donors.count())}
-    best = nearest(asking, donors, sizes, k, per_gap=True, block_rows=block_rows, split_rows=split_rows)
+    known = donors.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("features")).alias("width")).first()
+    sizes = {None: (asking.count(), known["rows"])}
+    best = nearest(asking, donors, sizes, k, per_gap=True, block_rows=block_rows or block_rows_for(known["width"] or 0),
+                   split_rows=split_rows)
     total = F.aggregate("best", F.lit(0.0), lambda acc, b: acc + b["value"])
     return best.select("id", "idx", (total / F.size("best")).alias("x"))
 
 
 def impute_knn(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, stored: bool = False,
-               block_rows: int = BLOCK_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+               block_rows: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Fill each missing cell from the k nearest rows that have it, else by the column mean.
 
     The matrix is read several times (questions, candidates, means, filling), so it is written out first unless it is

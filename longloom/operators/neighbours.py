@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 # the task code travels with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 2048
+BLOCK_MB = 512  # of a cell's query block with its work arrays
 SPLIT_ROWS = 32768
-STEP_ROWS = 2048  # donors compared at a time: a cell's work arrays are BLOCK_ROWS x STEP_ROWS
+STEP_ROWS = 2048  # donors compared at a time: a cell's work arrays have a block's rows times these
 MAX_TASKS = 20_000  # a task works through several cells, one after the other, when there are more
 DIST_DIGITS = 9
 _SLACK = 2 * 10.0 ** -DIST_DIGITS
@@ -152,12 +152,21 @@ def _cell_worker(k: int, per_gap: bool) -> Callable[[Iterator[pa.RecordBatch]],
     return work
 
 
+def block_rows_for(width: int, memory_mb: int = BLOCK_MB) -> int:
+    """Query rows of a block that fit in the memory.
+
+    Every donor row is copied once per block, so blocks are as large as they can be: the values of a block are held
+    four times over, and four work arrays have a column per donor of a step.
+    """
+    return max(64, (memory_mb << 17) // (4 * width + 4 * STEP_ROWS))
+
+
 def _blocks(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
 def nearest(queries: DataFrame, donors: DataFrame, sizes: dict[object, tuple[int, int]], k: int, per_gap: bool,
-            group: str | None = None, block_rows: int = BLOCK_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+            group: str | None = None, block_rows: int = 2048, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """The k nearest donors as ``(id, idx, best)``, best an array of (dist, donor, value) sorted by distance, then id.
 
     ``per_gap`` asks once per missing position of a query, among donors that have it; otherwise once per query (idx
