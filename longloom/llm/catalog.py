@@ -140,7 +140,7 @@ ORACLES["op7_quality_rules"] = f"""
       FROM lines),
     lost AS (
       SELECT doc_id, sum(words)::BIGINT AS lost FROM marked
-      WHERE symbols > {_Q.SYMBOL_SHARE}::DOUBLE * words OR (words >= 3 AND NOT ends)
+      WHERE symbols > {_Q.SYMBOL_SHARE}::DOUBLE * words OR (words BETWEEN 3 AND {_Q.END_WORDS} AND NOT ends)
         OR (marks >= 2 AND words <= {_Q.MENU_WORDS} * marks) OR (words <= 30 AND phrase)
       GROUP BY doc_id),
     measured AS (

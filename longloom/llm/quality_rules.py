@@ -27,6 +27,7 @@ BOILERPLATE = ("accept cookies", "cookie policy", "privacy policy", "terms of us
 
 SYMBOL_SHARE = 0.1  # symbols per word of a line
 MENU_WORDS = 4  # words between two menu marks, at most, in a line of navigation
+END_WORDS = 40  # longer lines may stop anywhere, as cut-off prose does
 MAX_LOST = 0.5  # share of the words that a kept document may lose
 MIN_WORDS = 50
 
@@ -52,7 +53,7 @@ def _symbols(text: Column) -> Column:
 def line_verdicts(line: Column, words: Column) -> dict[str, Column]:
     """Which rules a line of so many words breaks. Lines without a word break none.
 
-    ``punctuation``: more than ``SYMBOL_SHARE`` symbols per word, or a line of three words or more that ends like no
+    ``punctuation``: more than ``SYMBOL_SHARE`` symbols per word, or a line of 3 to ``END_WORDS`` words that ends like no
     prose. ``navigation``: two menu marks or more and at most ``MENU_WORDS`` words for each. ``boilerplate``: a phrase of
     a page's frame in a line of at most 30 words.
     """
@@ -60,7 +61,7 @@ def line_verdicts(line: Column, words: Column) -> dict[str, Column]:
     for p in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(p))
     return {
-        "punctuation": (_symbols(line) > F.lit(SYMBOL_SHARE) * words) | ((words >= 3) & ~line.rlike(LINE_END)),
+        "punctuation": (_symbols(line) > F.lit(SYMBOL_SHARE) * words) | (words.between(3, END_WORDS) & ~line.rlike(LINE_END)),
         "navigation": (marks >= 2) & (words <= MENU_WORDS * marks),
         "boilerplate": (words <= 30) & phrase,
     }
