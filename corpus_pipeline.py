@@ -25,9 +25,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that break a rule."""
-    kept = quality_rules.apply_quality_rules(docs).filter("quality.kept")
-    text = F.col("quality.text")
-    return kept.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("bigint").alias("n_chars"))
+    judged = quality_rules.apply_quality_rules(docs).select(
+        "doc_id", F.col("quality.text").alias("text"), "lang", "source", F.col("quality.kept").alias("kept"))
+    # stored, because a filter pushed below the rules would work them out again for each of its terms
+    kept = materialize(judged).filter("kept")
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
