@@ -33,8 +33,8 @@ def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.drop_near_duplicates(docs, percent=85).select(*COLUMNS)
+    """One document of each group of near-duplicates, linked from a similarity of 0.80 on."""
+    return neardup.drop_near_duplicates(docs, percent=80).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

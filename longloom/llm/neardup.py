@@ -1,19 +1,19 @@
 """Near-duplicate documents by b-bit MinHash, every link confirmed on full shingle sets.
 
-1. Each document becomes the set of its shingles, of which a sketch stays: the set's own hash, ``BANDS`` band hashes of
-   ``BAND_ROWS`` minima each, and ``BITS`` low bits of every minimum, packed. Documents with one and the same set are a
+1. Each document becomes the set of its shingles, of which a sketch stays: the set's own hash, band hashes of as many minima
+   each as ``band_rows`` says (``BANDS`` of ``BAND_ROWS`` at 85 %), and ``BITS`` low bits of every minimum, packed. Documents with one and the same set are a
    class, and from here on there are classes only.
 2. Every class of a bucket (a band and its hash) is tied to the bucket's lowest class. The connected components of these
    ties are clusters; two sets that share a bucket are in one cluster, whatever the bucket's size.
 3. Clusters are compared in cells of at most ``2 * CELL_SETS`` sets, every part of a cluster with every other. In a cell the
    packed bits of two sets are compared by counting, the share of equal minima is corrected for those that agree by
-   chance, and pairs whose estimate is within ``MARGIN`` of the threshold or above it are confirmed on their full sets,
+   chance, and pairs whose estimate is within ``margin`` of the threshold or above it are confirmed on their full sets,
    unless they are connected already. A cell gives at most one link less than it has sets, enough to connect what its
    links connect, so a group of n copies never becomes n * n rows.
 4. The connected components of the links are the classes' components, and each document looks its own up.
 
-A pair at the threshold is missed by all bands with a probability of ``(1 - J**BAND_ROWS)**BANDS``, 2e-7 at 0.85, and less
-above it; the margin of the estimate is six standard deviations.
+A pair at the threshold is missed by all bands with a probability of ``(1 - J**rows)**bands``, 2e-7 at 0.85 (8 rows), 4e-9
+at 0.80 (6 rows), and less above it; the margin of the estimate is six standard deviations.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 48, 8
 BITS = 2
 MARGIN = 0.13
+MISSED = 1e-6
 CELL_SETS = 4096
 CACHE_WORDS = 500_000
 BATCH = 256
@@ -78,6 +79,20 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
     return out
 
 
+def band_rows(percent: int) -> int:
+    """The most minima a band may have for the bands to miss at most ``MISSED`` of the pairs at the threshold."""
+    minima = BANDS * BAND_ROWS
+    fitting = [r for r in range(1, minima + 1) if minima % r == 0 and (1 - (percent / 100) ** r) ** (minima // r) <= MISSED]
+    return max(fitting, default=1)
+
+
+def margin(percent: int) -> float:
+    """Six standard deviations of the estimate at the threshold, ``MARGIN`` at least."""
+    chance = 0.5 ** BITS
+    agree = chance + (1 - chance) * percent / 100
+    return max(MARGIN, 6 * (agree * (1 - agree) / (BANDS * BAND_ROWS)) ** 0.5 / (1 - chance))
+
+
 class Sketcher:
     """MinHash of sets of 64-bit numbers, with fixed multipliers."""
 
@@ -131,11 +146,12 @@ def set_node(items: np.ndarray) -> bytes:
     return b"".join(s.to_bytes(8, "big") for s in sums)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """``_id, _t`` (a hash of the text), ``n_shingles, node, bands, bits`` of each document; node is NULL without words."""
+    rows = band_rows(percent)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Sketcher(BANDS, BAND_ROWS, BITS)
+        maker = Sketcher(BANDS * BAND_ROWS // rows, rows, BITS)
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 some = batch.slice(i, BATCH)
@@ -200,9 +216,9 @@ def cell_links(nodes: list[bytes], parts: np.ndarray, bits: np.ndarray, sets: li
     marked = np.zeros(int(items.max()) + 1 if len(items) else 1, dtype=bool)
     root = np.arange(n)
     crossing = len(np.unique(parts)) > 1
-    links = []
+    links, least = [], percent / 100 - margin(percent)
     for x in range(1, n):
-        near = (estimates(bits[x], bits[:x]) >= percent / 100 - MARGIN) & (root[:x] != root[x])
+        near = (estimates(bits[x], bits[:x]) >= least) & (root[:x] != root[x])
         near &= 100 * np.minimum(sizes[:x], sizes[x]) >= percent * np.maximum(sizes[:x], sizes[x])
         if crossing:
             near &= parts[:x] != parts[x]
@@ -252,7 +268,7 @@ def link_documents(docs: DataFrame, percent: int = 85, size: int = SHINGLE, id_c
 
 
 def _linked(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    stored = materialize(sketch(docs, id_col, text_col, size))
+    stored = materialize(sketch(docs, id_col, text_col, size, percent))
     full = stored.filter(F.col("node").isNotNull())
     classes = materialize(full.groupBy("node").agg(
         F.min("_id").alias("lowest"), F.min(F.struct("_id", "_t")).alias("row"), F.first("bits").alias("bits")))

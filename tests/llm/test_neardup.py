@@ -97,3 +97,27 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in d.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, **{i: 1000 for i in range(1000, 1060)}}
     assert d.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_and_margin():
+    for percent in (70, 80, 85, 90):
+        rows = d.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (d.BANDS * d.BAND_ROWS / rows) <= d.MISSED
+    assert (d.band_rows(85), d.margin(85)) == (d.BAND_ROWS, d.MARGIN) and d.margin(80) > d.MARGIN
+
+
+def test_stage_links_from_eighty_percent(spark):
+    """Rows against brute force at 80, among them pairs from 0.80 to below 0.85."""
+    import corpus_pipeline
+
+    rows, rng = corpus(), random.Random(5)
+    for i in range(40):
+        words = [f"p{i}_{j}" for j in range(200)]
+        near = [*words]
+        near[50:50 + rng.choice([18, 21, 26])] = []  # 178, 175 or 170 of 196 shingles stay, 4 are new
+        rows += [(10_000 + 2 * i, " ".join(words)), (10_001 + 2 * i, " ".join(near[:120] + ["q"] + near[121:]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    expected = {p: sorted(int(i) for i, _, low in brute_force(rows, p) if i == low) for p in (80, 85)}
+    assert kept == expected[80] and len(expected[80]) < len(expected[85])
