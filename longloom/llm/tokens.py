@@ -21,8 +21,10 @@ CHUNK_WORDS = 4_000
 BATCH_TEXTS = 500
 
 _SPACE = " \t\n\r\x0b\x0c"
+# what the tokenizers take for white space, which is less than str.isspace does
+_ANY_SPACE = _SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # a word with the one space before it; white space before that one; white space that stands alone
-_SPACED = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+_SPACED, _ANY_SPACED = (re.compile(rf" ?[^{s}]+|[{s}]+(?![^{s}])|[{s}]") for s in (_SPACE, _ANY_SPACE))
 _MARK = "\x01"
 
 
@@ -39,13 +41,20 @@ class WordIds(dict):
         self.folded = self._encode("A b") == self._encode("a b")
         self.between = "\n" if self.spaced else f" {_MARK} "
         self.border = np.frombuffer(self._encode(self.between.strip(" ")), "<u4")[0]
+        # a special token ends the text before it, and so a run of white space
+        self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.at_special = re.compile(f"({'|'.join(map(re.escape, self.special))})")
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def split(self, text: str) -> list[str]:
         if self.spaced:
-            return _SPACED.findall(text)
+            spaced = _SPACED if text.isascii() else _ANY_SPACED
+            if any(s in text for s in self.special):
+                parts = self.at_special.split(text)
+                return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else spaced.findall(p))]
+            return spaced.findall(text)
         if self.folded and text.isascii() and "<" not in text:  # the names of special tokens have a case
             text = text.lower()
         for c in _SPACE[1:]:
@@ -71,7 +80,7 @@ class WordIds(dict):
                     continue
             wanted.add(w)
         if self.spaced:
-            alone = [w for w in wanted if _MARK in w or not w.strip(_SPACE) or w.strip(_SPACE) != w.removeprefix(" ")]
+            alone = [w for w in wanted if _MARK in w or not w.strip(_ANY_SPACE) or w.strip(_ANY_SPACE) != w.removeprefix(" ")]
         else:
             alone = [w for w in wanted if _MARK in w]
         wanted.difference_update(alone)

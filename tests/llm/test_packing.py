@@ -32,6 +32,28 @@ def test_ids_of_any_text(text):
         assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == expected
 
 
+WIDE = "\x85\xa0\u1680\u2000\u2003\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE_HARD = ["Hello.\n\u00a0\nWorld", "end.\n\n\u3000\u4e00", "a\x85\nb", "x \u2003y\u2003 z", "\u00a0", "a\n\n<|endoftext|>\n\nb",
+             *[f"a{c}b {c} c\n{c}\n{c}{c}d. {c}{c}" for c in WIDE], *[f"\n{c}x" for c in "\x1c\x1f\u180e\u200b\ufeff"]]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_around_any_white_space(name):
+    words = WordIds(public_path(name))
+    for text, ids in zip(WIDE_HARD, words.encode(WIDE_HARD), strict=True):
+        expected = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected, text
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*"aB.,' \n\té7\u4e00", *WIDE, "<|endoftext|>"]), max_size=40).map("".join))
+def test_ids_of_any_text_with_wide_spaces(text):
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        words = test_ids_of_any_text.__dict__.setdefault(name, WordIds(public_path(name)))
+        expected = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == expected
+
+
 def one_by_one(lengths, size):
     """Best-fit decreasing, piece by piece, by a scan of all sequences: the rooms that are left, sorted."""
     rooms = []
