@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import context_tree, cover_tree, mixing, neardup, packing, quality_model, quality_rules, rans, toxicity, urls
+from . import (context_tree, cover_tree, mixing, neardup, packing, quality_model, quality_rules, rans, simhash, toxicity,
+               urls)
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +182,8 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = context_tree.score_documents(table(spark, sf_dir, "documents"), id_remainder(7) == 2)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
                          "bits_per_byte")
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_by_simhash(table(spark, sf_dir, "documents"), radius=2)
