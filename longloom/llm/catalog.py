@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import (context_tree, cover_tree, mixing, neardup, packing, quality_model, quality_rules, rans, simhash, toxicity,
-               urls)
+from . import (bond, context_tree, cover_tree, mixing, neardup, packing, quality_model, quality_rules, rans, repair, simhash,
+               toxicity, urls)
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,57 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_by_simhash(table(spark, sf_dir, "documents"), radius=2)
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label"), F.col("vec_id")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return bond.hard_negatives(vectors, vec_id % 100 == 0, positives=5, negatives=10, low=30, high=90, times=256)
+
+
+ORACLES["op12_hard_negatives"] = """
+    WITH good AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) AS n FROM good),
+    scores AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, sum(a.x * b.x)::BIGINT AS score
+      FROM parts a JOIN parts b ON a.i = b.i AND a.n = b.n AND a.vec_id != b.vec_id
+      WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id,
+      row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+      vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT same
+      AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+    QUALIFY rank <= 10"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text`` with rows dropped, emptied, cut, repeated and given to the user by a hash."""
+    plain = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fate = F.crc32(F.concat(plain["conv_id"], F.lit(":"), plain["turn"]).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", plain["role"].alias("role"), plain["text"].alias("text"), fate.alias("_fate"))
+    rows = rows.filter("_fate != 0").select(
+        "conv_id", "turn", F.when(F.col("_fate") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("_fate") == 1, "").when(F.col("_fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("_fate") == 3, 2).otherwise(1))).alias("_copy"))
+    return rows.drop("_copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repaired = repair.repair(damaged(turns))
+    report, digests = (df.withColumnRenamed("conv_id", n) for df, n in ((repaired.report, "_r"), (repair.digests(repaired.rows), "_d")))
+    every = turns.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("_r")), "left")
+    every = every.join(digests, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select("conv_id", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in numbers],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
