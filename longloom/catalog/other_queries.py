@@ -260,19 +260,25 @@ def profile_distinct(spark, sf_dir):
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"])
 
 
-@query("profile_compare", """
-    , parts AS (SELECT *, CASE WHEN {h} % 3 < 2 THEN 'train' ELSE 'eval' END AS split FROM orders)
-    """.replace("{h}", h32("o_orderkey || ':split'")).replace("    , parts", "WITH parts", 1) + " UNION ALL ".join(f"""
-    SELECT '{c}' AS "column", 0::BIGINT AS missing_left, 0::BIGINT AS missing_right,
-      round(avg({c}) FILTER (WHERE split = 'train'), 3) AS mean_left, round(avg({c}) FILTER (WHERE split = 'eval'), 3) AS mean_right
-    FROM parts""" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+_COMPARED = {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderstatus": None, "o_totalprice": "o_totalprice",
+             "o_orderdate": "epoch(o_orderdate)", "o_orderpriority": None}
+
+
+def _side_sql(c: str, x: str | None, side: str, split: str) -> str:
+    where = f"FILTER (WHERE split = '{split}')"
+    numbers = [f"round({f}({x}) {where}, 2)" if x else "NULL::DOUBLE" for f in ("avg", "stddev_pop")]
+    return (f"count(*) {where} - count({c}) {where} AS missing_{side}, {numbers[0]} AS mean_{side}, {numbers[1]} AS std_{side}")
+
+
+@query("profile_compare", f"""
+    WITH parts AS (SELECT *, CASE WHEN {h32("o_orderkey || ':split'")} % 3 < 2 THEN 'train' ELSE 'eval' END AS split FROM orders)
+    """ + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {_side_sql(c, x, "left", "train")}, {_side_sql(c, x, "right", "eval")} FROM parts"""
+                             for c, x in _COMPARED.items()))
 def profile_compare(spark, sf_dir):
-    split = split_buckets(table(spark, sf_dir, "orders"), "o_orderkey").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "split")
+    split = split_buckets(table(spark, sf_dir, "orders"), "o_orderkey")
     left, right = (split.filter(F.col("split") == s).drop("split") for s in ("train", "eval"))
-    return profile.compare_profiles(left, right).select(
-        "column", "missing_left", "missing_right", F.round("mean_left", 3).alias("mean_left"),
-        F.round("mean_right", 3).alias("mean_right"))
+    return profile.compare_profiles(left, right).withColumns(
+        {f"{c}_{side}": F.round(f"{c}_{side}", 2) for c in ("mean", "std") for side in ("left", "right")})
 
 
 @query("schema_infer", """

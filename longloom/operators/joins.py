@@ -25,7 +25,15 @@ def multiplicity(df: DataFrame, *keys: str, out: str = "copies") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
+COPIES = 1024  # that an array stands for
+
+
 def fan_out(df: DataFrame, copies: str = "copies") -> DataFrame:
-    """Repeat each row ``copies`` times: what joining a non-unique lookup would have done."""
-    repeat = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))).alias("_copy")
-    return df.select("*", repeat).drop("_copy", copies)
+    """Repeat each row ``copies`` times: what joining a non-unique lookup would have done.
+
+    A row of very many copies is repeated in two steps, so that no array is as long as its number of copies.
+    """
+    n, size = F.col(copies).cast("bigint"), F.lit(COPIES).cast("bigint")
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / size))).alias("_block")
+    inside = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(size, n - F.col("_block") * size))).alias("_copy")
+    return df.filter(n > 0).select("*", block).select("*", inside).drop("_block", "_copy", copies)

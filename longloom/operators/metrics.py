@@ -27,8 +27,9 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def f1_binary(df: DataFrame, label: str = "label", prediction: str = "prediction", positive: int = 1) -> DataFrame:
-    """One row: F1 of the positive class; 0 when it neither occurs nor is predicted."""
-    is_true, is_said = F.col(label) == positive, F.col(prediction) == positive
+    """One row: F1 of the positive class; 0 when it neither occurs nor is predicted. A missing prediction is not positive, nor
+    is a missing label."""
+    is_true, is_said = (F.coalesce(F.col(c) == positive, F.lit(False)) for c in (label, prediction))
     counts = df.agg(
         F.count_if(is_true & is_said).alias("tp"),
         F.count_if(~is_true & is_said).alias("fp"),
@@ -60,6 +61,24 @@ def accuracy(df: DataFrame, by: list[str] | None = None, label: str = "label",
     return df.groupBy(*by).agg(rows, right) if by else df.agg(rows, right)
 
 
+def accuracy_slices(df: DataFrame, slicings: list[list[str]], label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """``slicing``, the slicing columns, ``rows, accuracy`` of several slicings in one pass over the rows; ``[]`` is all rows.
+
+    ``slicing`` names the columns of a row's slicing, joined by commas, ``overall`` without any; other columns are NULL. Rows
+    where a slicing column is NULL are a slice of their own.
+    """
+    names = list(dict.fromkeys(c for s in slicings for c in s))
+    right = F.coalesce(F.col(label) == F.col(prediction), F.lit(False)).cast("int")
+    measures = [F.count(F.lit(1)).alias("rows"), F.avg("_right").alias("accuracy")]
+    rows = df.select(*names, right.alias("_right"))
+    if not names:
+        return rows.agg(*measures).select(F.lit("overall").alias("slicing"), "rows", "accuracy")
+    own = F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in names])
+    sets = [[F.col(c) for c in names if c in s] for s in slicings]
+    found = rows.groupingSets(sets, *names).agg(F.when(own == "", "overall").otherwise(own).alias("slicing"), *measures)
+    return found.select("slicing", *names, "rows", "accuracy")
+
+
 # A model passes at this accuracy, and when it is not this much worse than the one before.
 MIN_ACCURACY = 0.6
 MIN_CHANGE = -1e-10
