@@ -91,6 +91,10 @@ def rank_of(merged: DataFrame, column: str, value: float) -> DataFrame:
 def sketched_schema(merged: DataFrame, max_domain: int = 20) -> DataFrame:
     """The schema that ``infer_schema`` suggests, from sketches: type, whether always there, and the values of a text column
     of at most ``max_domain``, fewer than the summary follows."""
-    domain = F.array_sort(F.transform(_frequent(max_domain + 1), lambda x: x["item"]))
-    few = (F.col("type") == "STRING") & (F.size(domain) <= max_domain) & (F.col("rows") > F.col("missing"))
+    items = _frequent(max_domain + 1)
+    domain = F.array_sort(F.transform(items, lambda x: x["item"]))
+    # a summary that has lost values knows frequent ones only, whose rows don't add up
+    whole = F.aggregate(items, F.lit(0).cast("bigint"), lambda n, x: n + x["count"]) == F.col("rows") - F.col("missing")
+    few = (F.col("type") == "STRING") & (F.size(domain) <= max_domain) & (F.hll_sketch_estimate("hll") <= 2 * max_domain) & whole
+    few = few & (F.col("rows") > F.col("missing"))
     return merged.select("column", "type", (F.col("missing") == 0).alias("required"), F.when(few, domain).alias("domain"))
