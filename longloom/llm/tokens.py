@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -26,6 +27,10 @@ _ANY_SPACE = _SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))
 # a word with the one space before it; white space before that one; white space that stands alone
 _SPACED, _ANY_SPACED = (re.compile(rf" ?[^{s}]+|[{s}]+(?![^{s}])|[{s}]") for s in (_SPACE, _ANY_SPACE))
 _MARK = "\x01"
+_BREAK = "\x00"
+_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", _BREAK)
+_WIDE = re.compile(f"[{_ANY_SPACE[len(_SPACE):]}]")
+_PROBES = ("a", "the", "Word", "naïve", "Straße", "ÉTÉ", "unbelievably", "ÿ")
 
 
 class WordIds(dict):
@@ -44,12 +49,41 @@ class WordIds(dict):
         # a special token ends the text before it, and so a run of white space
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.at_special = re.compile(f"({'|'.join(map(re.escape, self.special))})")
+        # a word of Latin letters is one piece for the merges; whether this holds of the vocabulary is tried
+        self.direct = self._probe()
+
+    def _probe(self) -> bool:
+        from tokenizers import models, pre_tokenizers
+
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # how a byte-level vocabulary writes a space and what is not ASCII
+        self.signs = {c: signs.pre_tokenize_str(chr(c))[0][0] for c in (32, *range(128, 256))}
+        self.model = self.tokenizer.model
+        words = [*_PROBES, *(f" {w}" for w in _PROBES)] if self.spaced else _PROBES
+        return isinstance(self.model, models.BPE) and all(self._merge(w) == self._encode(w) for w in words)
+
+    def _merge(self, word: str) -> bytes:
+        """The ids of a word of letters, which nothing but the merges themselves divides."""
+        if self.folded:
+            word = word.lower()
+        if not word.isascii() or word[0] == " ":
+            word = word.translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    @staticmethod
+    def _latin(word: str) -> bool:
+        """Whether a word, less a space before it, is of Latin letters that are one sign each."""
+        return word.removeprefix(" ").isalpha() and (word.isascii() or max(word) < "\u0100")
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def split(self, text: str) -> list[str]:
+        """The words of a text, with the one space before each where white space counts."""
         if self.spaced:
+            odd = any(c in text for c in _ODD) or any(s in text for s in self.special) or not text.isascii() and _WIDE.search(text)
+            if not odd:  # every space is the one before a word, every newline stands alone
+                return text.replace(" ", f"{_BREAK} ").replace("\n", f"{_BREAK}\n{_BREAK}").split(_BREAK)
             spaced = _SPACED if text.isascii() else _ANY_SPACED
             if any(s in text for s in self.special):
                 parts = self.at_special.split(text)
@@ -79,6 +113,10 @@ class WordIds(dict):
                 if w in self:
                     continue
             wanted.add(w)
+        if self.direct:
+            letters = [w for w in wanted if self._latin(w)]
+            self.update(zip(letters, map(self._merge, letters)))
+            wanted.difference_update(letters)
         if self.spaced:
             alone = [w for w in wanted if _MARK in w or not w.strip(_ANY_SPACE) or w.strip(_ANY_SPACE) != w.removeprefix(" ")]
         else:
@@ -103,6 +141,7 @@ class WordIds(dict):
         """The ids of each text; None is an empty text."""
         if len(self) > CACHE_WORDS:
             self.clear()
+        self[""] = b""
         out = []
         for i in range(0, len(texts), BATCH_TEXTS):
             split = [self.split(t) if t else [] for t in texts[i:i + BATCH_TEXTS]]
