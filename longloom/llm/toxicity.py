@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain as chain_of
 
 import numpy as np
 import pandas as pd
@@ -28,22 +29,25 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 DIM = 1 << 18
-SAMPLE_ROWS = 2000  # documents of either label
+SAMPLE_ROWS = 4000  # documents of either label
 SEED_DOCS = 5  # toxic documents with a feature, at least
 SEED_SHARE = 0.9  # of the documents with a feature, as many being toxic, both labels weighing alike
 SEED_LIMIT = 20_000  # features kept, those with the most toxic documents
 PIECE = 32  # tokens of a piece to learn from
-PIECES = 2  # pieces of a document
+PIECES = 4  # pieces of a document
 CHUNK = 64
 CACHE_WORDS = 500_000
 BATCH = 512  # documents scored in one step
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^\W+|\W+$")
+_WHOLE, _PART, _LAST, _KIND = (zlib.crc32(c) for c in (b"w", b"p", b"s", b"k"))  # a feature's hash goes on from its kind's
 
 
 def plain(word: str) -> str:
     """A word in lower case without marks at its ends; a word of marks only stays."""
+    if word.isalnum():
+        return word.lower()
     return _EDGE.sub("", word).lower() or word
 
 
@@ -54,18 +58,24 @@ def lexical(word: str) -> list[str]:
 
 def hashed(word: str) -> list[int]:
     """Features of a word for the field: its form, beginnings, ending and kind of characters."""
-    kind = f"{word.isalpha():d}{word.isdigit():d}{min(len(word), 12)}"
-    named = [f"w{word}", *(f"p{word[:n]}" for n in (3, 4, 5, 6)), f"s{word[-3:]}", f"k{kind}"]
-    return [zlib.crc32(f.encode("utf-8", "replace")) % DIM for f in named]
+    if word.isascii():
+        whole = word.encode()
+        parts, last = [whole[:n] for n in (3, 4, 5, 6)], whole[-3:]
+    else:
+        whole, last, *parts = (w.encode("utf-8", "replace") for w in (word, word[-3:], *(word[:n] for n in (3, 4, 5, 6))))
+    kind = b"%d%d%d" % (word.isalpha(), word.isdigit(), min(len(word), 12))
+    crc = zlib.crc32
+    return [crc(whole, _WHOLE) % DIM, *[crc(p, _PART) % DIM for p in parts], crc(last, _LAST) % DIM, crc(kind, _KIND) % DIM]
 
 
-def chain(evidence: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> dict[str, np.ndarray]:
+def chain(evidence: np.ndarray, sizes: np.ndarray, moves: np.ndarray, pairs: bool = False) -> dict[str, np.ndarray]:
     """Forward-backward over many chains at once.
 
     ``evidence`` has the log odds of each token, chain after chain, ``sizes`` their tokens, ``moves`` the 2 x 2 log
     potentials of transitions. Before a chain stands a plain token. Chains are cut into chunks: the chunks' products of
-    2 x 2 matrices are made side by side, carried along each chain, and then the tokens' values are filled in, side by
-    side again. Gives ``p``, the probability of each token being toxic, and ``pairs``, that of (before, own) state.
+    2 x 2 matrices are made side by side and carried along each chain, and then the tokens' values are filled in, side by
+    side again. With two states what comes from either side of a token is one number, its odds of being toxic. Gives
+    ``p``, the probability of each token being toxic, and if asked for ``pairs``, that of (before, own) state.
     """
     width = max(1, min(CHUNK, int(sizes.max(initial=0))))
     n_chunks = -(-sizes // width)
@@ -73,50 +83,52 @@ def chain(evidence: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> dict[st
     total = int(n_chunks.sum())
     start = np.cumsum(sizes) - sizes
     row = np.repeat(first * width - start, sizes) + np.arange(len(evidence))
-    odds = np.zeros(total * width)
-    odds[row] = np.exp(np.clip(evidence, -50, 50))
-    real = np.zeros(total * width, dtype=bool)
-    real[row] = True
-    odds, real = odds.reshape(total, width), real.reshape(total, width)
-    move = np.exp(moves)
-
-    def step(t: int) -> np.ndarray:
-        m = np.empty((total, 2, 2))
-        m[:, :, 0] = move[:, 0]
-        m[:, :, 1] = move[:, 1] * odds[:, t, None]
-        m[~real[:, t]] = np.eye(2)
-        return m
-
-    product = np.broadcast_to(np.eye(2), (total, 2, 2))
+    # a row for each step, so that a step's values lie together
+    at = row % width * total + row // width
+    odds, real = np.ones(total * width), np.zeros(total * width, dtype=bool)
+    odds[at] = np.exp(np.clip(evidence, -50, 50))
+    real[at] = True
+    odds, real = odds.reshape(width, total), real.reshape(width, total)
+    whole = real.all(axis=1).tolist()
+    (m00, m01), (m10, m11) = np.exp(moves).tolist()
+
+    a, b, c, d = np.ones(total), np.zeros(total), np.zeros(total), np.ones(total)
     for t in range(width):
-        product = np.einsum("cij,cjk->cik", product, step(t))
-        product = product / product.max(axis=(1, 2), keepdims=True)
-    ahead, behind = np.empty((total, 2)), np.empty((total, 2))
-    now = np.tile([1.0, 0.0], (len(sizes), 1))
-    rear = np.ones((len(sizes), 2))
+        new = a * m00 + b * m10, (a * m01 + b * m11) * odds[t], c * m00 + d * m10, (c * m01 + d * m11) * odds[t]
+        if not whole[t]:
+            new = [np.where(real[t], x, old) for x, old in zip(new, (a, b, c, d))]
+        if t % 4 == 3:  # four steps stay within the range of numbers
+            most = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))
+            new = [x / most for x in new]
+        a, b, c, d = new
+    ahead, behind = np.zeros(total), np.ones(total)
+    now, rear = np.zeros(len(sizes)), np.ones(len(sizes))
     for k in range(int(n_chunks.max(initial=0))):
         own = np.flatnonzero(n_chunks > k)
-        at, end = first[own] + k, first[own] + n_chunks[own] - 1 - k
-        ahead[at] = now[own]
-        nxt = np.einsum("ci,cij->cj", now[own], product[at])
-        now[own] = nxt / nxt.sum(axis=1, keepdims=True)
-        behind[end] = rear[own]
-        nxt = np.einsum("cij,cj->ci", product[end], rear[own])
-        rear[own] = nxt / nxt.sum(axis=1, keepdims=True)
-    before = np.empty((width, total, 2))
+        i, j = first[own] + k, first[own] + n_chunks[own] - 1 - k
+        ahead[i], behind[j] = now[own], rear[own]
+        now[own] = (b[i] + now[own] * d[i]) / (a[i] + now[own] * c[i])
+        rear[own] = (c[j] + d[j] * rear[own]) / (a[j] + b[j] * rear[own])
+    before, own_odds = np.empty((width, total)), np.empty((width, total))
     for t in range(width):
         before[t] = ahead
-        ahead = np.einsum("ci,cij->cj", ahead, step(t))
-        ahead /= ahead.sum(axis=1, keepdims=True)
-    pairs = np.empty((total, width, 2, 2))
+        own_odds[t] = ahead = odds[t] * (m01 + m11 * ahead) / (m00 + m10 * ahead)
+    p = np.empty((width, total))
+    after = np.empty((width, total)) if pairs else None
     for t in range(width - 1, -1, -1):
-        m = step(t)
-        joint = before[t][:, :, None] * m * behind[:, None, :]
-        pairs[:, t] = joint / joint.sum(axis=(1, 2), keepdims=True)
-        behind = np.einsum("cij,cj->ci", m, behind)
-        behind /= behind.sum(axis=1, keepdims=True)
-    pairs = pairs.reshape(-1, 2, 2)[row]
-    return {"p": pairs[:, :, 1].sum(axis=1), "pairs": pairs}
+        if pairs:
+            after[t] = odds[t] * behind
+        both = own_odds[t] * behind
+        p[t] = both / (1 + both)
+        seen = odds[t] * behind
+        new = (m10 + m11 * seen) / (m00 + m01 * seen)
+        behind = new if whole[t] else np.where(real[t], new, behind)
+    found = {"p": p.ravel()[at]}
+    if pairs:
+        x, y = before.ravel()[at], after.ravel()[at]
+        joint = np.stack([np.full(len(x), m00), m01 * y, m10 * x, m11 * x * y], axis=1)
+        found["pairs"] = (joint / joint.sum(axis=1, keepdims=True)).reshape(-1, 2, 2)
+    return found
 
 
 @dataclass
@@ -125,9 +137,6 @@ class ToxicField:
     moves: np.ndarray = field(default_factory=lambda: np.array([[0.0, -3.0], [0.0, -1.0]]))
     document: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0]))  # constant, highest, expected number
 
-    def evidence(self, word: str) -> float:
-        return float(self.weights[hashed(plain(word))].sum())
-
     def document_features(self, p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Per document a 1, the log odds of its most toxic token and the log of the expected number of toxic ones.
 
@@ -147,20 +156,23 @@ class ToxicField:
 
 
 class Evidence(dict):
-    """Word -> its evidence, computed once per word while there is room."""
+    """Word, as UTF-8, -> its evidence, computed once per word while there is room."""
 
     def __init__(self, model: ToxicField):
         super().__init__()
         self.model = model
+        used = np.flatnonzero(model.weights)
+        self.weights = dict(zip(used.tolist(), model.weights[used].tolist()))
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: bytes) -> float:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = self.model.evidence(word)
+        weight = self.weights.get
+        value = self[word] = sum([weight(f, 0.0) for f in hashed(plain(word.decode("utf-8", "surrogatepass")))])
         return value
 
 
-def fit_field(words: list[list[str]], labels: list[list[int]], steps: int = 80, rate: float = 0.1,
+def fit_field(words: list[list[str]], labels: list[list[int]], steps: int = 150, rate: float = 0.1,
               penalty: float = 1e-5) -> ToxicField:
     """Maximum likelihood of token labels with Adam; the gradient is observed minus expected counts."""
     model = ToxicField()
@@ -180,7 +192,7 @@ def fit_field(words: list[list[str]], labels: list[list[int]], steps: int = 80,
     mean, square = np.zeros_like(live), np.zeros_like(live)
     for step in range(1, steps + 1):
         weights, moves = live[:len(used)], live[len(used):].reshape(2, 2)
-        found = chain(weights[features].sum(axis=1)[index], sizes, moves)
+        found = chain(weights[features].sum(axis=1)[index], sizes, moves, pairs=True)
         per_word = np.bincount(index, weights=found["p"] - y, minlength=len(features))
         d_weights = np.bincount(features.ravel(), weights=np.repeat(per_word, features.shape[1]), minlength=len(used))
         grad = np.concatenate([d_weights, (found["pairs"].sum(axis=0) - seen).ravel()]) / len(sizes) + penalty * live
@@ -208,10 +220,14 @@ def _tokens(text: str | None) -> list[str]:
     return WORD.findall(text or "")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
-                 text_col: str = "text", label_col: str = "toxic") -> ToxicField:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pieces_each: int = PIECES,
+                 piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicField:
     """Learn from at most ``sample_rows`` documents of either label, those with the lowest hashes of their ids.
 
+    Which words mark toxic documents is counted over the whole texts of these documents, and so is how a document's words
+    make its score. The field itself learns from at most ``pieces_each`` pieces of ``piece`` words of each, pieces with
+    marked words first.
+
     Labels other than 0 and 1 and labels without an id are none. With one label only, or none, every score comes from
     the untrained field and is below one half.
     """
@@ -241,10 +257,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             for text, y, k in frame.itertuples(index=False):
                 words = _tokens(text)
                 hit = np.array([y and any(f in seeds for f in lexical(plain(w))) for w in words], dtype=int)
-                starts = range(0, len(words), PIECE)
+                starts = range(0, len(words), piece)
                 # pieces with marked tokens first, then by a hash
-                order = sorted(starts, key=lambda s: (-int(hit[s:s + PIECE].any()), zlib.crc32(f"{k}:{s}".encode())))
-                rows += [(words[s:s + PIECE], hit[s:s + PIECE].tolist()) for s in order[:PIECES]]
+                order = sorted(starts, key=lambda s: (-int(hit[s:s + piece].any()), zlib.crc32(f"{k}:{s}".encode())))
+                rows += [(words[s:s + piece], hit[s:s + piece].tolist()) for s in order[:pieces_each]]
             yield pd.DataFrame(rows, columns=["words", "marks"])
 
     pieces = sampled.select("_text", "_y", "_k").mapInPandas(cut, "words array<string>, marks array<int>").toArrow()
@@ -267,9 +283,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
 def _read(known: Evidence, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document features of texts, their tokens' probabilities and numbers of tokens."""
-    words = [_tokens(t) for t in texts]
+    # of bytes, split takes the white space of WORD
+    words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    evidence = np.array([known[w] for own in words for w in own], dtype=float)
+    evidence = np.fromiter(map(known.__getitem__, chain_of.from_iterable(words)), float, int(sizes.sum()))
     p = chain(evidence, sizes, known.model.moves)["p"] if len(evidence) else evidence
     return known.model.document_features(p, sizes), p, sizes
 

@@ -30,7 +30,8 @@ def test_marginals_are_those_of_all_paths(monkeypatch, chunk):
     rng = np.random.default_rng(chunk)
     moves, sizes = rng.normal(size=(2, 2)), np.array([5, 0, 9, 1, 3])
     evidence = rng.normal(size=18) * 3
-    got = t.chain(evidence, sizes, moves)
+    got = t.chain(evidence, sizes, moves, pairs=True)
+    assert t.chain(evidence, sizes, moves)["p"].tolist() == got["p"].tolist()
     at = 0
     for n in sizes:
         if n:
