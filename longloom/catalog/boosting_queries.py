@@ -1,11 +1,11 @@
-"""Queries on boosted trees."""
+"""Queries on boosted trees and the wide and deep model."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators.split import split_exact, take_split
-from ..plans import boosting
+from ..plans import boosting, wide_deep
 from ..session import shared_dir
 from . import inputs
 from .other_queries import _TEST_ROWS, _checked
@@ -82,3 +82,10 @@ def boosting_train(spark, sf_dir):
     path = f"{shared_dir(spark)}/boosted"
     boosting.fit(train).save(spark, path)
     return _checked(boosting.load(spark, path).score(test))
+
+
+@query("wide_deep_train", _TEST_ROWS, steps=("split_of",))
+def wide_deep_train(spark, sf_dir):
+    """The wide and deep model at its defaults: 1,000 steps of 40 rows."""
+    train, test = take_split(split_exact(inputs.matrix(spark, sf_dir)))
+    return _checked(wide_deep.fit(train).score(test))

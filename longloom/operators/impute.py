@@ -10,6 +10,7 @@ from ..session import materialize
 from .matrix import column_stats, stats_array
 from .neighbours import SPLIT_ROWS, block_rows_for, nearest
 from .pivot import cells_to_vectors
+from .probing import nearest_probed
 
 
 def _fill(m: DataFrame, values: Column) -> DataFrame:
@@ -34,23 +35,27 @@ def _has_gap(features: Column) -> Column:
 
 
 def knn_cells(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, block_rows: int | None = None,
-              split_rows: int = SPLIT_ROWS) -> DataFrame:
+              split_rows: int = SPLIT_ROWS, recall: float | None = None) -> DataFrame:
     """``(id, idx, x)`` for every missing cell that has a donor: the mean over its k nearest donors.
 
-    A donor has a value at the position and shares another with the row. Equal distances go to the lower id.
+    A donor has a value at the position and shares another with the row. Equal distances go to the lower id. With ``recall``
+    donors are looked for near pivots only, so that this share of the nearest is found (see ``probing``).
     """
     donors = m if fit_on is None else fit_on
     asking = m.filter(_has_gap(F.col("features")))
     known = donors.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("features")).alias("width")).first()
-    sizes = {None: (asking.count(), known["rows"])}
-    best = nearest(asking, donors, sizes, k, per_gap=True, block_rows=block_rows or block_rows_for(known["width"] or 0),
-                   split_rows=split_rows)
+    block_rows = block_rows or block_rows_for(known["width"] or 0)
+    if recall is not None:
+        best, _ = nearest_probed(asking, donors, k, True, block_rows, split_rows, recall)
+    else:
+        sizes = {None: (asking.count(), known["rows"])}
+        best = nearest(asking, donors, sizes, k, per_gap=True, block_rows=block_rows, split_rows=split_rows)
     total = F.aggregate("best", F.lit(0.0), lambda acc, b: acc + b["value"])
     return best.select("id", "idx", (total / F.size("best")).alias("x"))
 
 
-def impute_knn(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, stored: bool = False,
-               block_rows: int | None = None, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def impute_knn(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, stored: bool = False, block_rows: int | None = None,
+               split_rows: int = SPLIT_ROWS, recall: float | None = None) -> DataFrame:
     """Fill each missing cell from the k nearest rows that have it, else by the column mean.
 
     The matrix is read several times (questions, candidates, means, filling), so it is written out first unless it is
@@ -58,7 +63,7 @@ def impute_knn(m: DataFrame, k: int = 5, fit_on: DataFrame | None = None, stored
     """
     m = m if stored else materialize(clean_features(m))
     donors = m if fit_on is None else clean_features(fit_on)
-    cells = knn_cells(m, k, fit_on, block_rows, split_rows)
+    cells = knn_cells(m, k, fit_on, block_rows, split_rows, recall)
     length = donors.agg(F.max(F.size("features"))).scalar()
     fills = cells_to_vectors(cells, "id", length).withColumnRenamed("features", "_near")
     out = m.join(fills, "id", "left")

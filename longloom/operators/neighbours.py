@@ -179,6 +179,8 @@ def nearest(queries: DataFrame, donors: DataFrame, sizes: dict[object, tuple[int
     def by_group(values: dict[object, int]) -> Column:
         if group is None:
             return F.lit(values[None])
+        if len(values) > 16:  # one flat expression for many groups
+            return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(group))
         out = F.lit(None).cast("int")
         for g, v in values.items():
             out = F.when(F.col(group) == F.lit(g), F.lit(v)).otherwise(out)
