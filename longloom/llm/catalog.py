@@ -85,15 +85,15 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op4_exact_top_k"] = """
     WITH good AS (
-      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
       WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-    parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) AS n FROM good),
+    parts AS (SELECT r, vec_id, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) AS n FROM good),
     scores AS (
-      SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::BIGINT AS score
-      FROM parts a JOIN parts b ON a.i = b.i AND a.n = b.n AND a.vec_id != b.vec_id
+      SELECT a.r AS q, a.vec_id AS query_id, b.r, b.vec_id, sum(a.x * b.x)::BIGINT AS score
+      FROM parts a JOIN parts b ON a.i = b.i AND a.n = b.n AND a.r != b.r
       WHERE a.vec_id % 100 = 0 GROUP BY ALL)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    SELECT query_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
     FROM scores QUALIFY rank <= 10"""
 
 

@@ -80,7 +80,7 @@ class Best:
     """The k best scores of each query so far: higher scores first, then smaller ids."""
 
     def __init__(self, n: int, k: int, kind: type):
-        self.k = k
+        self.k, self.pairs, self.skipped = k, 0, 0
         self.scores = np.full((n, k), -np.inf, dtype=kind)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
@@ -103,26 +103,32 @@ class Best:
         self.scores[rows[changed]], self.ids[rows[changed]] = value[take], name[take]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> Best:
-    """The k highest inner products of each query with rows of other ids, as whole numbers."""
+def search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_rows: np.ndarray, data_ids: np.ndarray,
+           k: int) -> Best:
+    """The k highest inner products of each query with other rows, as whole numbers; a row is known by its number.
+
+    ``pairs`` of the result counts the node pairs looked at, and ``skipped`` those left out with all below them.
+    """
     size = np.sqrt((queries.astype(float) ** 2).sum(axis=1).max() * (data.astype(float) ** 2).sum(axis=1).max())
     kind = np.float64 if size < _EXACT else np.longdouble  # 53 or 64 bits of whole numbers
     if size >= 2.0 ** 63:
         raise OverflowError("scores do not fit a long")
     order = np.argsort(data_ids, kind="stable")
-    data, data_ids = data[order].astype(kind), data_ids[order]
+    data, data_ids, data_rows = data[order].astype(kind), data_ids[order], data_rows[order]
     queries = queries.astype(kind)
     best = Best(len(queries), k, kind)
     top, below = build(queries.astype(float)), build(data.astype(float))
     heap, count = [(-bound(top, below), 0, top, below)], 1
     while heap:
         high, _, q, d = heapq.heappop(heap)
+        best.pairs += 1
         if -high < q.worst:
+            best.skipped += 1
             continue
         if q.rows is not None and d.rows is not None:
             rows = np.sort(d.rows)
             scores = queries[q.rows] @ data[rows].T
-            scores[query_ids[q.rows][:, None] == data_ids[rows][None, :]] = -np.inf
+            scores[query_rows[q.rows][:, None] == data_rows[rows][None, :]] = -np.inf
             best.offer(q.rows, scores, data_ids[rows])
             q.worst = float(best.scores[q.rows, -1].min())
             continue
@@ -135,6 +141,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
                 if (high := bound(a, b)) >= a.worst:
                     heapq.heappush(heap, (-high, count, a, b))
                     count += 1
+                else:
+                    best.pairs, best.skipped = best.pairs + 1, best.skipped + 1
     return best
 
 
@@ -151,26 +159,27 @@ def usable(vector: Column) -> Column:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` highest inner products of each query row with the rows of other ids.
+    """``query_id, rank, vec_id, score``: the ``k`` highest inner products of each query row with all rows but itself.
 
     Components are multiplied by 1024 and rounded down, scores are whole numbers, ties go to the smaller id. With fewer
     other rows all of them are listed.
 
     Vectors that are NULL, empty or hold NULL or non-finite components take no part, nor do rows without an id. Vectors
-    meet those of their own length only. Repeated rows are candidates each by itself; queries with one id and one vector
-    have one list. Scores beyond a long are an error. Other columns are not read; an empty table gives no rows.
+    meet those of their own length only. Repeated rows are rows of their own: each is a query with a list, in which the
+    others are candidates. Scores beyond a long are an error. Other columns are not read; an empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), is_query.alias("_q"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("_v")))
-    rows, seen = materialize_measured(rows.select("id", scaled(F.col("_v")).alias("v"), F.coalesce("_q", F.lit(False)).alias("q")),
-                                      queries=F.count_if("q"))
+    # a row's number is one that stays, because the numbered rows are written
+    rows, seen = materialize_measured(rows.select("id", scaled(F.col("_v")).alias("v"), F.coalesce("_q", F.lit(False)).alias("q"),
+                                                  F.monotonically_increasing_id().alias("row")), queries=F.count_if("q"))
     data_blocks, query_blocks = max(1, -(-seen["rows"] // DATA_BLOCK)), max(1, -(-(seen["queries"] or 0) // QUERY_BLOCK))
-    queries = rows.filter("q").dropDuplicates(["id", "v"])
+    queries = rows.filter("q")
 
     def cells(df: DataFrame, own: str, n: int, other: str, others: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int").alias(own)
+        block = F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(own)
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        return df.select("id", "v", F.size("v").alias("width"), block, every)
+        return df.select("id", "row", "v", F.size("v").alias("width"), block, every)
 
     data = cells(rows, "d", data_blocks, "q", query_blocks)
     asked = cells(queries, "q", query_blocks, "d", data_blocks)
@@ -179,15 +188,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         names = ["query_id", "query", "vec_id", "score"]
         if not len(a) or not len(b):
             return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
-        ids = a["id"].to_numpy()
-        best = search(np.stack(a["v"]), ids, np.stack(b["v"]), b["id"].to_numpy(), k)
+        ids, own = a["id"].to_numpy(), a["row"].to_numpy()
+        best = search(np.stack(a["v"]), own, np.stack(b["v"]), b["row"].to_numpy(), b["id"].to_numpy(), k)
         found = best.scores > -np.inf
         at = np.nonzero(found)[0]
-        return pd.DataFrame({"query_id": ids[at], "query": a["mark"].to_numpy()[at], "vec_id": best.ids[found],
+        return pd.DataFrame({"query_id": ids[at], "query": own[at], "vec_id": best.ids[found],
                              "score": best.scores[found].astype(np.int64)})
 
     key = ["width", "q", "d"]
-    asked = asked.withColumn("mark", F.xxhash64("v"))
     found = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(
         compare, "query_id long, query long, vec_id long, score long")
     order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.numbering import ordered_index
 from ..session import materialize
+from .neardup import free_name
 from .quality_rules import let, words_of
 
 SLICE_ROWS = 1024
@@ -134,8 +135,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_cop
     its targets are 0 and it gives no rows.
     """
     drawn = draw_copies(docs, weights, max_copies, seed, id_col, text_col, source_col)
-    copies = drawn.groupBy(F.col("key").alias("_mix_key")).agg(F.max("copies").alias("_mix_copies"))
-    keyed = docs.withColumn("_mix_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    taken = keyed.join(copies.filter("_mix_copies > 0"), "_mix_key")
-    repeat = F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")
+    mark, times, copy = (free_name(docs, n) for n in ("_mix_key", "_mix_copies", "_mix_copy"))
+    copies = drawn.groupBy(F.col("key").alias(mark)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
+    taken = docs.withColumn(mark, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).join(copies, mark)
+    repeat = F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)
     return taken.select("*", repeat).select(*[F.col(f"`{c}`") for c in docs.columns])

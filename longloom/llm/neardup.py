@@ -244,11 +244,21 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE
 
     Of rows with one id and text one stays; which, if other columns differ, is not said.
     """
-    row = F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("NULL")), "_t")
-    left = _linked(docs, percent, size, id_col, text_col).filter("kept").select(row.alias("_row")).distinct()
-    named = docs.withColumns({"_id": F.col(id_col), "_t": F.xxhash64(text_col)}).withColumn("_row", row)
-    unique = named.join(left, "_row").dropDuplicates(["_row"])
-    return unique.select(*[F.col(f"`{c}`") for c in docs.columns])
+    def row(own: Column, text: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("NULL")), text)
+
+    mark = free_name(docs, "_row")
+    left = _linked(docs, percent, size, id_col, text_col).filter("kept").select(row(F.col("_id"), F.col("_t")).alias(mark)).distinct()
+    named = docs.withColumn(mark, row(F.col(id_col), F.xxhash64(text_col)))
+    return named.join(left, mark).dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def link_documents(docs: DataFrame, percent: int = 85, size: int = SHINGLE, id_col: str = "doc_id",

@@ -27,7 +27,8 @@ def test_search_is_exact(monkeypatch, kind):
     assert sorted(covered(tree, points.astype(float))) == list(range(n))
     ids = rng.permutation(n) + 5
     asked = np.flatnonzero(ids % 10 == 0)
-    best = c.search(points[asked], ids[asked], points, ids, 7)
+    rows = np.arange(n)
+    best = c.search(points[asked], rows[asked], points, rows, ids, 7)
     for row, q in enumerate(asked):
         scores = points @ points[q]
         order = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[q]][:7]
@@ -42,16 +43,17 @@ def test_pruning_leaves_most_pairs_out(monkeypatch):
     offer = c.Best.offer
     monkeypatch.setattr(c.Best, "offer", lambda self, r, s, i: (seen.append(s.size), offer(self, r, s, i))[1])
     ids = np.arange(6000)
-    c.search(points[::20], ids[::20], points, ids, 10)
+    best = c.search(points[::20], ids[::20], points, ids, ids, 10)
+    assert best.skipped > 100
     assert sum(seen) < 0.5 * 300 * 6000
 
 
 def test_large_numbers():
     q, d = np.array([[3_000_000_001, 1]]), np.array([[3_000_000_001, 7], [3_000_000_000, 5], [3_000_000_001, 6]])
-    best = c.search(q, np.array([9]), d, np.array([1, 2, 3]), 2)
+    best = c.search(q, np.array([9]), d, np.array([1, 2, 3]), np.array([1, 2, 3]), 2)
     assert best.scores.astype(np.int64).tolist() == [[3_000_000_001 ** 2 + 7, 3_000_000_001 ** 2 + 6]]
     with pytest.raises(OverflowError):
-        c.search(q * 4, np.array([9]), d, np.array([1, 2, 3]), 2)
+        c.search(q * 4, np.array([9]), d, np.array([1, 2, 3]), np.array([1, 2, 3]), 2)
 
 
 @pytest.mark.parametrize("blocks", [(4096, 8192), (3, 17)])
@@ -63,15 +65,14 @@ def test_top_k(spark, monkeypatch, blocks):
     rows += [(200, None, "s"), (201, [1.0, None, 2.0, 3.0], "s"), (210, [float("nan")] * 4, "s"), (220, [float("inf"), 1.0, 1.0, 1.0], "s"),
              (None, [9.0] * 4, "s"), (230, [1.0, 2.0], "s"), (231, [3.0, 2.0], "s"), (240, [], "s"), (110, rows[110][1], "s"), (5, rows[5][1], "s")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = {}
-    for r in c.top_k(df, F.col("vec_id") % 10 == 0, 5).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    got = sorted(tuple(r[n] for n in ("query_id", "rank", "vec_id", "score")) for r in c.top_k(df, F.col("vec_id") % 10 == 0, 5).collect())
     good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v, _ in rows
             if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    expected = {}
-    for i, v in good:
+    expected = []
+    for at, (i, v) in enumerate(good):
         if i % 10 == 0:
-            all_ = sorted(((-int(w @ v), j) for j, w in good if j != i and len(w) == len(v)))[:5]
-            expected[i] = {n + 1: (j, -s) for n, (s, j) in enumerate(all_)}
-    assert got == expected
+            others = sorted((-int(w @ v), j) for other, (j, w) in enumerate(good) if other != at and len(w) == len(v))[:5]
+            expected += [(i, n, j, -s) for n, (s, j) in enumerate(others, 1)]
+    assert got == sorted(expected)
+    assert sum(q == 110 and v == 110 for q, _, v, _ in got) == 2  # either of two rows finds the other
     assert c.top_k(df.filter("vec_id > 500"), F.lit(True)).count() == 0

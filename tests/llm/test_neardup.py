@@ -121,3 +121,17 @@ def test_stage_links_from_eighty_percent(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     expected = {p: sorted(int(i) for i, _, low in brute_force(rows, p) if i == low) for p in (80, 85)}
     assert kept == expected[80] and len(expected[80]) < len(expected[85])
+
+
+def test_names_of_other_columns(spark):
+    """Columns that are named like the operators' own come back as they were."""
+    from longloom.llm.mixing import mix_sources
+
+    names = ("_id", "_t", "_row", "node", "_mix_key", "_mix_copies", "_mix_copy", "key")
+    text = " ".join(f"x{i}" for i in range(60))
+    rows = [(i, text if i < 3 else f"own {i} " * 20, "s", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    kept = d.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], *rows[3:]]
+    mixed = mix_sources(docs, weights=(1,), max_copies=3)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) == set(rows)
