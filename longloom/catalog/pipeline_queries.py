@@ -26,7 +26,7 @@ def replace_from_itself(spark, sf_dir):
     """A table with a declared schema replaced by a part of its own rows, after a replacement that failed."""
     target = VersionedTable(spark, f"{shared_dir(spark)}/betas")
     target.replace(inputs.betas(spark, sf_dir), BETAS_SCHEMA)
-    broken = F.when(F.col("sample_status") == "control", F.raise_error(F.lit("broken"))).otherwise(F.col("case_barcode"))
+    broken = F.when(F.col("sample_status") == "tumor", F.raise_error(F.lit("broken"))).otherwise(F.col("case_barcode"))
     try:
         target.replace(target.read().withColumn("case_barcode", broken), BETAS_SCHEMA)
     except Exception as error:

@@ -4,7 +4,8 @@ import __spark_entry__ as app
 from tools.compare import connect, difference
 
 # model fits are covered elsewhere
-NAMES = sorted(set(app.queries()) - {"gbt_train", "mlp_train", "grid_search", "random_search", "score_saved_model"})
+NAMES = sorted(set(app.queries()) - {"gbt_train", "mlp_train", "grid_search", "random_search", "score_saved_model", "boosting_train",
+                                     "wide_deep_train"})
 
 
 @pytest.fixture(scope="session")
