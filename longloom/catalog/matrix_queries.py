@@ -229,5 +229,7 @@ def preprocess_mean(spark, sf_dir):
 
 @query("preprocess_knn_smote")
 def preprocess_knn_smote(spark, sf_dir):
+    """Training rows, filled up with synthetic ones, and test rows."""
     done = preprocess(inputs.matrix(spark, sf_dir), fill="knn", balance="smote", ratio=0.3)
-    return inputs.cells(done.train, "id", "label", "synthetic")
+    both = done.train.withColumn("is_test", F.lit(False)).unionByName(done.test.withColumn("is_test", F.lit(True)), allowMissingColumns=True)
+    return inputs.cells(both, "id", "label", "synthetic", "is_test")
