@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import exceeds_share, moment_parts
 from ..operators import drift, metrics, profile, sketches
 from ..operators.neighbours import nearest
 from ..operators.probing import nearest_probed
@@ -155,3 +156,12 @@ def impute_knn_probed(spark, sf_dir):
     shared = F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<bigint>"))))
     return both.agg(F.count(F.lit(1)).alias("gaps"), F.lit(seen["recall"] >= 0.9).alias("measured_recall"),
                     (F.sum(shared) >= 0.9 * F.sum(F.size("a"))).alias("recall"))
+
+
+@query("moment_parts", """
+    SELECT event_id, month(ts) AS month, hour(ts) AS hour, dayofweek(ts) + 1 AS day_of_week, floor(epoch(ts))::BIGINT AS epoch_seconds,
+      CASE WHEN value > user_id * 0.2::DOUBLE THEN 1 ELSE 0 END AS exceeds FROM events""")
+def moment_parts_query(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", *[c.alias(n) for n, c in moment_parts(F.col("ts")).items()],
+                         exceeds_share(F.col("value"), F.col("user_id"), 0.2).alias("exceeds"))

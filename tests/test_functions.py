@@ -86,3 +86,14 @@ def test_hash_is_portable_and_uniform(spark):
     kept = hashing.hash_sample(df, "id", 0.25).count()
     assert abs(kept - 5000) < 300
     assert hashing.hash_sample(df, "id", 0.25).exceptAll(hashing.hash_sample(df, "id", 0.25)).isEmpty()
+
+
+def test_moments_and_shares(spark):
+    from datetime import datetime
+
+    from longloom.functions.dates import exceeds_share, moment_parts
+
+    df = spark.createDataFrame([(datetime(2024, 3, 3, 23, 59, 59, 900000), 21.0, 100.0), (datetime(1969, 12, 31, 0, 0, 1), 20.0, 100.0),
+                                (None, None, 1.0)], "t timestamp, a double, b double")
+    got = df.select(*[c.alias(n) for n, c in moment_parts(F.col("t")).items()], exceeds_share(F.col("a"), F.col("b"), 0.2).alias("x")).collect()
+    assert [tuple(r) for r in got] == [(3, 23, 1, 1709510399, 1), (12, 0, 4, -86399, 0), (None, None, None, None, 0)]
