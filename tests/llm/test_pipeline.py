@@ -82,3 +82,39 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     first = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").collect()))
     assert first == sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").collect())) != []
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_of_nothing(spark, sf_dir):
+    """Every stage of an empty table gives an empty one of the same columns."""
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf_dir)
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == empty.columns)
+
+
+def test_stages_of_odd_rows(spark, sf_dir):
+    """NULL in every column, empty texts, repeated rows, a very long text, and columns of other names."""
+    rng = random.Random(9)
+    long = "\n".join(f"{prose(rng)}" for _ in range(250))
+    fine = prose(rng)
+    assert len(long.split()) > 20_000
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, fine, "en", "a", 1), (2, fine, "en", "a", 1), (3, fine, None, None, None),
+            (4, long, "en", "b", 2), (None, prose(rng), "en", "b", 2)]
+    docs = spark.createDataFrame([(*r, "k", 7) for r in rows], SCHEMA + ", key string, _row int")
+    stages = dict(corpus_pipeline.STAGES)
+    graded = stages["quality_classifier"](spark, docs, sf_dir)
+    assert {2, 4} <= {r["doc_id"] for r in graded.collect()}
+    cleaned = stages["quality_rules"](spark, docs, sf_dir).collect()
+    assert sorted(str(r["doc_id"]) for r in cleaned) == ["2", "2", "3", "4", "None"]
+    assert next(r for r in cleaned if r["doc_id"] == 4)["text"] == long
+    single = stages["near_duplicates"](spark, docs, sf_dir).collect()
+    assert sorted(str(r["doc_id"]) for r in single) == ["1", "2", "4", "None", "None"]
+    mixed = stages["source_mix"](spark, docs, sf_dir).collect()
+    assert {r["doc_id"] for r in mixed} <= {None, 1, 2, 3, 4}
+    packed = stages["best_fit_packing"](spark, docs, sf_dir).collect()
+    words = WordIds(public_path("word_bpe_49k.json"))
+    assert sum(r["length"] for r in packed) == sum(len(b) // 4 + 1 for b in words.encode([r[1] for r in rows]))
+    assert max(r["length"] for r in packed) == 4096
