@@ -56,8 +56,8 @@ class WordIds(dict):
         from tokenizers import models, pre_tokenizers
 
         signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # how a byte-level vocabulary writes a space and what is not ASCII
-        self.signs = {c: signs.pre_tokenize_str(chr(c))[0][0] for c in (32, *range(128, 256))}
+        # how a byte-level vocabulary writes a sign: ASCII letters as they are, a space and what is not ASCII otherwise
+        self.signs = [signs.pre_tokenize_str(chr(c))[0][0] for c in range(256)]
         self.model = self.tokenizer.model
         words = [*_PROBES, *(f" {w}" for w in _PROBES)] if self.spaced else _PROBES
         return isinstance(self.model, models.BPE) and all(self._merge(w) == self._encode(w) for w in words)
@@ -66,14 +66,16 @@ class WordIds(dict):
         """The ids of a word of letters, which nothing but the merges themselves divides."""
         if self.folded:
             word = word.lower()
-        if not word.isascii() or word[0] == " ":
+        if not word.isascii():
             word = word.translate(self.signs)
+        elif word[0] == " ":
+            word = self.signs[32] + word[1:]
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     @staticmethod
     def _latin(word: str) -> bool:
         """Whether a word, less a space before it, is of Latin letters that are one sign each."""
-        return word.removeprefix(" ").isalpha() and (word.isascii() or max(word) < "\u0100")
+        return (word.isalpha() or word[0] == " " and word[1:].isalpha()) and (word.isascii() or max(word) < "\u0100")
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
