@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.split import split_exact, split_ordered, stratified_folds
+from ..session import materialize_measured
 
 MAX_TREE_DEPTH = 30  # what Spark ML trees allow
+PARTITION_VALUES = 8_000_000  # of the training vectors, 64 MB
 
 
 def with_vectors(m: DataFrame, features: str = "features") -> DataFrame:
@@ -57,9 +59,19 @@ def neural_net(n_features: int, n_classes: int = 2, hidden: tuple[int, ...] = (1
         blockSize=batch, seed=seed)
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """Training vectors, stored and cached in as many partitions as there are cores, more only for more values.
+
+    Spark ML runs a job over all partitions for every step of a fit; as many as a shuffle happens to have would cost a
+    task each, each time.
+    """
+    stored, seen = materialize_measured(rows, values=F.sum(F.size(vector_to_array("input"))))
+    return stored.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-(seen["values"] or 0) // PARTITION_VALUES))).persist()
+
+
 def fit(estimator: Estimator, train: DataFrame) -> PipelineModel:
     """Fit on cached training vectors."""
-    rows = with_vectors(train).select("label", "input").persist()
+    rows = kept(with_vectors(train).select("label", "input"))
     try:
         return Pipeline(stages=[estimator]).fit(rows)
     finally:
@@ -91,7 +103,7 @@ def grid_search(train: DataFrame, grid: dict[str, list] | None = None, folds: in
     builder = ParamGridBuilder()
     for name, values in (grid or GRID).items():
         builder = builder.addGrid(estimator.getParam(_GRID_PARAMS[name]), values)
-    rows = stratified_folds(with_vectors(train), folds).select("label", "input", "fold").persist()
+    rows = kept(stratified_folds(with_vectors(train), folds).select("label", "input", "fold"))
     try:
         search = CrossValidator(estimator=estimator, estimatorParamMaps=builder.build(), evaluator=_weighted_f1(),
                                 numFolds=folds, foldCol="fold", parallelism=parallelism)
@@ -141,7 +153,7 @@ def random_search(train: DataFrame, trials: int = 2, parallelism: int = 2, seed:
     ``hold_out`` is ``ordered``, the last rows in id order, or ``hash``, the first in seeded hash order.
     """
     split = {"ordered": split_ordered, "hash": split_exact}[hold_out]
-    rows = with_vectors(split(train, 0.3)).select("label", "input", "is_test").persist()
+    rows = kept(with_vectors(split(train, 0.3)).select("label", "input", "is_test"))
     evaluator = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
                                                   metricName="fMeasureByLabel", metricLabel=1.0)
     drawn = draw_params(trials, seed, space)
