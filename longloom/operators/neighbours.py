@@ -23,9 +23,11 @@ from pyspark.sql import types as T
 # the task code travels with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_MB = 512  # of a cell's query block with its work arrays
+BLOCK_MB = 512  # of a cell's query block
+BLOCK_ROWS = 8192
 SPLIT_ROWS = 32768
-STEP_ROWS = 2048  # donors compared at a time: a cell's work arrays have a block's rows times these
+STEP_ROWS = 2048  # donors compared at a time
+TILE_ROWS = 256  # queries compared at a time: a cell's work arrays have these times a step's donors, 4 MB each
 MAX_TASKS = 20_000  # a task works through several cells, one after the other, when there are more
 DIST_DIGITS = 9
 _SLACK = 2 * 10.0 ** -DIST_DIGITS
@@ -47,22 +49,25 @@ class QueryBlock:
     def offer(self, ids: np.ndarray, values: np.ndarray) -> None:
         known = ~np.isnan(values)
         filled = np.where(known, values, 0.0)
-        mask, qmask = known.astype(float), self.known.astype(float)
-        width = values.shape[1]
-        squares = (self.filled ** 2) @ mask.T + qmask @ (filled ** 2).T
+        mask, squared = known.astype(float), filled ** 2
+        for at in range(0, len(self.ids), TILE_ROWS):
+            low, high = self._bounds(slice(at, at + TILE_ROWS), mask, filled, squared)
+            for i, asked in enumerate(self.asked[at:at + TILE_ROWS]):
+                if len(asked):
+                    self._merge(at + i, ids, values, known, low[i], high[i])
+
+    def _bounds(self, tile: slice, mask: np.ndarray, filled: np.ndarray, squared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Between which two numbers each distance lies, by matrix products; only rows that may be among the best are
+        compared exactly. Work arrays are as large as a tile, whatever the block's rows."""
+        own, qmask = self.filled[tile], self.known[tile].astype(float)
+        squares = (own ** 2) @ mask.T + qmask @ squared.T
         with np.errstate(divide="ignore", invalid="ignore"):
-            scale = width / (qmask @ mask.T)
-            rough = (squares - 2.0 * (self.filled @ filled.T)) * scale
+            scale = mask.shape[1] / (qmask @ mask.T)
+            rough = (squares - 2.0 * (own @ filled.T)) * scale
             error = 1e-12 * squares * scale
         rough[~np.isfinite(rough)] = np.inf
         error[~np.isfinite(error)] = 0.0
-        # the matrix products bound each distance from both sides; only rows that may be among the best are
-        # compared exactly
-        low = np.sqrt(np.maximum(rough - error, 0.0))
-        high = np.sqrt(np.maximum(rough + error, 0.0))
-        for i, asked in enumerate(self.asked):
-            if len(asked):
-                self._merge(i, ids, values, known, low[i], high[i])
+        return np.sqrt(np.maximum(rough - error, 0.0)), np.sqrt(np.maximum(rough + error, 0.0))
 
     def _has(self, i: int, ids: np.ndarray, known: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Which of the rows can answer which question of query i."""
@@ -137,16 +142,16 @@ def _cell_worker(k: int, per_gap: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 if here != cell:
                     yield from finish()
                     cell, asking, block = here, [], None
-                ids, values = _ids(part.column("id")), _matrix(part.column("features"))
                 if side == 0:
-                    asking.append((ids, values))
+                    asking.append((_ids(part.column("id")), _matrix(part.column("features"))))
                 elif asking or block is not None:
                     if block is None:
                         block = QueryBlock(np.concatenate([a[0] for a in asking]),
                                            np.concatenate([a[1] for a in asking]), k, per_gap)
                         asking = []
-                    for at in range(0, len(ids), STEP_ROWS):
-                        block.offer(ids[at:at + STEP_ROWS], values[at:at + STEP_ROWS])
+                    for at in range(0, part.num_rows, STEP_ROWS):
+                        step = part.slice(at, STEP_ROWS)
+                        block.offer(_ids(step.column("id")), _matrix(step.column("features")))
         yield from finish()
 
     return work
@@ -155,10 +160,10 @@ def _cell_worker(k: int, per_gap: bool) -> Callable[[Iterator[pa.RecordBatch]],
 def block_rows_for(width: int, memory_mb: int = BLOCK_MB) -> int:
     """Query rows of a block that fit in the memory.
 
-    Every donor row is copied once per block, so blocks are as large as they can be: the values of a block are held
-    four times over, and four work arrays have a column per donor of a step.
+    Every donor row is copied once per block, so blocks are as large as they can be, up to ``BLOCK_ROWS``: the values of a
+    block are held four times over while it is put together. The work arrays of a comparison don't grow with it.
     """
-    return max(64, (memory_mb << 17) // (4 * width + 4 * STEP_ROWS))
+    return max(64, min(BLOCK_ROWS, (memory_mb << 17) // (4 * max(1, width))))
 
 
 def _blocks(rows: int, size: int) -> int:

@@ -1,10 +1,11 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from longloom.operators import balance, impute, matrix, scale, split
+from longloom.operators import balance, impute, matrix, neighbours, scale, split
 from longloom.plans import preparation
 
 SCHEMA = "id bigint, label int, features array<double>"
@@ -256,3 +257,25 @@ def test_nan_is_filled(spark):
     for fill, expected in (("mean", 6.0), ("zero", 0.0), ("knn", 4.0)):
         got = {r["id"]: r["features"] for r in impute.impute(m, fill).collect()}
         assert got[1] == [1.0, expected], fill
+
+
+def test_knn_work_arrays_do_not_grow_with_the_block():
+    """A block of many rows is compared tile by tile: numpy's peak is far below one array of block by step."""
+    x, donors = gappy(6000, 8, 0.1, seed=7), gappy(2048, 8, 0.1, seed=8)
+    block = neighbours.QueryBlock(np.arange(6000), x, 3, True)
+    tracemalloc.start()
+    block.offer(np.arange(6000, 8048), donors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 2048 * 8
+    few = neighbours.QueryBlock(np.arange(300, 340), x[300:340], 3, True)
+    few.offer(np.arange(6000, 8048), donors)
+    whole, part = block.answers(), few.answers()
+    mine = (whole["id"] >= 300) & (whole["id"] < 340)
+    assert all((whole[n][mine] == part[n]).all() for n in part)
+
+
+def test_knn_blocks_are_bounded_for_any_width():
+    for width in (0, 1, 64, 5000, 1_000_000):
+        rows = neighbours.block_rows_for(width)
+        assert rows <= neighbours.BLOCK_ROWS and (rows == 64 or rows * width * 32 <= 512 << 20)
