@@ -4,8 +4,9 @@ Values are replaced by bins of equal numbers of rows once; a stored row is one b
 is one pass over these rows: each adds its gradient and hessian to the cells (node, column, bin), cells are added up inside
 tasks and then by Spark, and of the sums, at most nodes x columns x bins of them however many rows there are, the best split
 of each node comes back. A node whose rows take at most ``NODE_BYTES`` is not passed over level by level: its rows meet in one
-task that grows all that is below it, by the same rule. Nothing but the trees themselves is kept by the driver, and a task
-computes a row's margin from them anew, so that a lost executor costs no more than its tasks.
+task that grows all that is below it, by the same rule. Nothing but the trees themselves is kept by the driver. Every
+``KEEP_TREES`` trees the rows are stored with their margins, to which a task adds the trees since then, so that a lost executor
+costs no more than its tasks and a tree no more than the ones before it.
 
 The objective is the logistic loss. With G and H the sums of gradients and hessians and T(G) = sign(G) max(|G| - alpha, 0),
 a node is worth T(G)^2 / (H + lam), a split gains what its sides are worth more than the node, and a leaf's weight is
@@ -39,7 +40,9 @@ from ..session import materialize, materialize_measured
 BINS = 64
 MOST_BINS = 255  # a bin is a byte, 0 a missing value
 CELLS = 4_000_000  # of a task's histogram at a time
-NODE_BYTES = 8 << 20
+NODE_BYTES = 16 << 20
+KEEP_TREES = 20
+FEW_ROWS = 1000  # up to which one sum over all columns beats a sum for each
 LEAST_GAIN = 1e-6
 _TREE = ("tree int, node int, feature int, bin int, threshold double, missing_left boolean, left int, right int, "
          "weight double, gain double")
@@ -211,15 +214,40 @@ class Boosting:
         return over * over / (h + F.lit(float(self.lam)))
 
 
+def _bytes(column: pa.BinaryArray) -> np.ndarray:
+    """The rows of a column whose values all have one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _added(margin: np.ndarray, trees: list[Tree], bins: np.ndarray) -> np.ndarray:
+    """Margins with those of more trees, added one by one."""
+    for t in trees:
+        margin = margin + np.array(t.weight)[t.of_bins(bins)]
+    return margin
+
+
 def _active(batch: pa.RecordBatch, trees: list[Tree], grown: Tree, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """Bins, node places, gradients and hessians of the rows whose node has a place."""
-    own = np.stack([np.frombuffer(b.as_buffer(), np.uint8) for b in batch.column(0)])
+    own = _bytes(batch.column(0))
     at = place[grown.of_bins(own)]
-    own, at, label = own[at >= 0], at[at >= 0], batch.column(1).to_numpy()[at >= 0]
-    p = chance(margins(trees, lambda t: t.of_bins(own))) if trees else np.full(len(own), 0.5)
+    own, at, label, margin = own[at >= 0], at[at >= 0], batch.column(1).to_numpy()[at >= 0], batch.column(2).to_numpy()[at >= 0]
+    p = chance(_added(margin, trees, own))
     return own, at, p - label, p * (1 - p)
 
 
+def with_margins(rows: DataFrame, trees: list[Tree]) -> DataFrame:
+    """Binned rows whose ``margin`` has these trees, too, stored."""
+    names = rows.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                margin = _added(batch.column("margin").to_numpy(), trees, _bytes(batch.column("bins")))
+                yield batch.set_column(names.index("margin"), "margin", pa.array(margin))
+
+    return materialize(rows.mapInArrow(each, rows.schema))
+
+
 def histograms(rows: DataFrame, trees: list[Tree], grown: Tree, nodes: list[int], columns: np.ndarray, bins: int) -> DataFrame:
     """``node, feature, bin, g, h, n``: sums of gradients and hessians and number of rows in nodes of the growing tree."""
 
@@ -242,7 +270,7 @@ def histograms(rows: DataFrame, trees: list[Tree], grown: Tree, nodes: list[int]
                      pa.array((rest % (bins + 1)).astype(np.int32)), *[pa.array(s[full]) for s in sums]],
                     names=["node", "feature", "bin", "g", "h", "n"])
 
-    parts = rows.select("bins", F.col("label").cast("double")).mapInArrow(each, "node int, feature int, bin int, g double, h double, n double")
+    parts = rows.select("bins", F.col("label").cast("double"), "margin").mapInArrow(each, "node int, feature int, bin int, g double, h double, n double")
     # one exchange serves the sums of cells and the running sums over a column's bins
     return parts.repartition("node", "feature").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
 
@@ -276,15 +304,29 @@ def best_splits(cells: DataFrame, own: Boosting) -> DataFrame:
                        (~F.col("s.right")).alias("missing_left"), "s.g_left", "s.h_left", "s.n_left")
 
 
+def _sums(own: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -> list[np.ndarray]:
+    """Gradients, hessians and rows by column and bin, added up in the order of the rows."""
+    n = own.shape[1]
+    if len(own) <= FEW_ROWS:
+        cell = (np.arange(n) * (bins + 1) + own).ravel()
+        return [np.bincount(cell, np.repeat(s, n), n * (bins + 1)).reshape(n, bins + 1) for s in (g, h, np.ones(len(own)))]
+    sums = [np.empty((n, bins + 1)) for _ in range(3)]
+    for i in range(n):
+        cell = own[:, i].astype(np.intp)
+        for s, weights in zip(sums, (g, h, None)):
+            s[i] = np.bincount(cell, weights, bins + 1)
+    return sums
+
+
 def best_split(own: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, boosting: Boosting) -> tuple[float, int, int, bool] | None:
     """The gain, column, bin and side of missing values of one node's best split, if it has any; ``best_splits`` of its rows."""
+    most = max(g[g > 0].sum(), -g[g < 0].sum())  # no side has a larger sum of gradients
+    if most < boosting.alpha * (1 - 1e-9) or h.sum() < 2 * boosting.min_child_weight * (1 - 1e-9):
+        return None
     width = own.shape[1]
     best, step = None, max(1, CELLS // max(bins + 1, len(own)))
     for i in range(0, width, step):
-        some = own[:, i:i + step]
-        n = some.shape[1]
-        cell = (np.arange(n) * (bins + 1) + some).ravel()
-        sums = [np.bincount(cell, np.repeat(s, n), n * (bins + 1)).reshape(n, bins + 1) for s in (g, h, np.ones(len(own)))]
+        sums = _sums(own[:, i:i + step], g, h, bins)
         left = [np.cumsum(s[:, 1:], axis=1)[:, :, None] + s[:, :1, None] * np.array([0.0, 1.0]) for s in sums]
         right = [s.sum(axis=1)[:, None, None] - x for s, x in zip(sums, left)]
 
@@ -302,6 +344,13 @@ def best_split(own: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, boostin
     return best
 
 
+def _order(own: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order of rows by their bytes, gradients and hessians: bytes are compared eight at a time."""
+    words = np.zeros((len(own), -(-own.shape[1] // 8) * 8), np.uint8)
+    words[:, :own.shape[1]] = own
+    return np.lexsort((h, g, *words.view(">u8").astype(np.uint64).T[::-1]))
+
+
 def finished(rows: DataFrame, trees: list[Tree], grown: Tree, nodes: dict[int, int], columns: np.ndarray, bins: int, own: Boosting) -> DataFrame:
     """What grows below nodes of few rows, by node and the levels it may have: ``node, at, feature, bin, missing_left, left,
     right, gain, g, h``, ``at`` and the children counting from the node itself."""
@@ -318,8 +367,9 @@ def finished(rows: DataFrame, trees: list[Tree], grown: Tree, nodes: dict[int, i
                     names=["node", "bins", "g", "h"])
 
     def below(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["bins", "g", "h"])  # sums don't depend on the order of arrival
-        all_bins, g, h = np.stack([np.frombuffer(b, np.uint8) for b in group["bins"]]), group["g"].to_numpy(), group["h"].to_numpy()
+        all_bins, g, h = np.frombuffer(b"".join(group["bins"]), np.uint8).reshape(len(group), len(columns)), group["g"].to_numpy(), group["h"].to_numpy()
+        order = _order(all_bins, g, h)  # sums don't depend on the order of arrival
+        all_bins, g, h = all_bins[order], g[order], h[order]
         node, out, work = int(group["node"].iloc[0]), [], [(0, np.arange(len(group)), 0)]
         count = 1
         while work:
@@ -336,13 +386,14 @@ def finished(rows: DataFrame, trees: list[Tree], grown: Tree, nodes: dict[int, i
             out.append(line)
         return pd.DataFrame(out, columns=["node", "at", "feature", "bin", "missing_left", "left", "right", "gain", "g", "h"])
 
-    parts = rows.select("bins", F.col("label").cast("double")).mapInArrow(placed, "node int, bins binary, g double, h double")
+    parts = rows.select("bins", F.col("label").cast("double"), "margin").mapInArrow(placed, "node int, bins binary, g double, h double")
     return parts.groupBy("node").applyInPandas(
         below, "node int, at int, feature int, bin int, missing_left boolean, left int, right int, gain double, g double, h double")
 
 
 def grow(rows: DataFrame, n_rows: int, trees: list[Tree], number: int, cuts: list[np.ndarray], own: Boosting) -> Tree:
-    """The next tree: a job for each level that has large nodes, and one for all small nodes."""
+    """The next tree: a job for each level that has large nodes, and one for all small nodes. ``trees`` are those that the rows'
+    margins lack."""
     tree, sums, sizes, open_nodes, small = Tree(), {}, {0: n_rows}, [0], {}
     columns, sample, bins = own.columns(number, len(cuts)), own.rows(rows, number), max(map(len, cuts), default=0) + 1
     few = NODE_BYTES // max(1, len(columns))
@@ -450,8 +501,11 @@ def prepared(m: DataFrame, bins: int = BINS) -> tuple[DataFrame, int, list[np.nd
 def boost(rows: DataFrame, n_rows: int, cuts: list[np.ndarray], own: Boosting) -> Boosted:
     """A model from binned rows, of which there are ``n_rows``."""
     trees: list[Tree] = []
+    rows, known = rows.withColumn("margin", F.lit(0.0)), 0
     for number in range(int(own.n_estimators)):
-        trees.append(grow(rows, n_rows, trees, number, cuts, own))
+        if number - known >= KEEP_TREES:
+            rows, known = with_margins(rows, trees[known:]), number
+        trees.append(grow(rows, n_rows, trees[known:], number, cuts, own))
     return Boosted(trees, len(cuts))
 
 

@@ -157,3 +157,27 @@ def test_grid_search(spark):
     by = {tuple(s.values()): f for s, f in found.tried}
     assert by[1, 500.0, 1] == by[3, 500.0, 3]  # no tree splits under such a penalty
     assert set(found.best) == {"max_depth", "alpha", "n_estimators"}
+
+
+def test_margins_are_kept(spark, monkeypatch):
+    """The same trees however often the rows are stored with their margins; no tree adds up more than the ones since then."""
+    x, y = data()
+    own, seen, plain = b.Boosting(n_estimators=5, max_depth=3, bins=16, alpha=0.5, gamma=0.0), [], b.grow
+    monkeypatch.setattr(b, "grow", lambda rows, n, trees, *rest: seen.append(len(trees)) or plain(rows, n, trees, *rest))
+    models = []
+    for keep in (100, 2, 1):
+        monkeypatch.setattr(b, "KEEP_TREES", keep)
+        models.append(b.fit(frame(spark, x, y), own).trees)
+    assert seen == [0, 1, 2, 3, 4, 0, 1, 0, 1, 0, 0, 0, 0, 0, 0]
+    assert models[0] == models[1] == models[2]
+
+
+def test_sums_and_order_of_many_rows():
+    rng = np.random.default_rng(3)
+    own, g, h = rng.integers(0, 4, (b.FEW_ROWS + 500, 11)).astype(np.uint8), rng.normal(size=b.FEW_ROWS + 500).round(1), np.ones(b.FEW_ROWS + 500)
+    own[::3] = own[0]  # copies are told apart by their gradients
+    plain = sorted(range(len(own)), key=lambda i: (own[i].tobytes(), g[i], h[i]))
+    assert list(b._order(own, g, h)) == plain
+    for n in (b.FEW_ROWS, len(own)):
+        sums = b._sums(own[:n], g[:n], h[:n], 3)
+        assert all(np.array_equal(s[c, v], np.bincount(own[:n, c], w[:n], 4)[v]) for s, w in zip(sums, (g, h, h)) for c in range(11) for v in range(4))
