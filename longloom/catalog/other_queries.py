@@ -404,7 +404,7 @@ def gbt_train(spark, sf_dir):
 @query("mlp_train", _TEST_ROWS, steps=("split_of",))
 def mlp_train(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
-    model = training.fit(training.neural_net(64, steps=300), train)
+    model = training.fit(training.neural_net(64), train)
     return _checked(training.score(model, test))
 
 

@@ -52,7 +52,8 @@ def neural_net(n_features: int, n_classes: int = 2, hidden: tuple[int, ...] = (1
                batch: int = 40, seed: int = 123) -> MultilayerPerceptronClassifier:
     """A feed-forward classifier with the given hidden layers.
 
-    ``batch`` is the number of rows stacked per gradient computation.
+    ``batch`` is the number of rows stacked per gradient computation; every step passes over all rows. A fit whose loss
+    no longer falls by a millionth is done before its last step.
     """
     return MultilayerPerceptronClassifier(
         featuresCol="input", labelCol="label", layers=[n_features, *hidden, n_classes], maxIter=steps,

@@ -1,5 +1,6 @@
 from pyspark.ml import Estimator, Transformer
 
+from longloom.catalog import other_queries
 from longloom.plans import training
 
 
@@ -35,3 +36,20 @@ def test_many_values_keep_partitions(spark, monkeypatch):
     assert kept.count() == 90 and 1 <= kept.rdd.getNumPartitions() <= 9
     none = training.kept(training.with_vectors(rows(spark, 90, 16).limit(0)).select("label", "input"))
     assert none.count() == 0
+
+
+def test_mlp_train_is_given_all_steps(spark, monkeypatch):
+    """It was given 300 of the 1,000 steps; here one is run, on rows of its own."""
+    asked, whole = [], training.fit
+
+    def short(net, train):
+        asked.append((net.getMaxIter(), net.getLayers(), train.count()))
+        return whole(net.copy({net.maxIter: 1}), train)
+
+    data = [(i, i % 2, [float((i * j) % 7) for j in range(64)]) for i in range(30)]
+    m = spark.createDataFrame(data, "id long, label int, features array<double>")
+    monkeypatch.setattr(other_queries, "_parts", lambda *_: (m.filter("id < 20"), m.filter("id >= 20")))
+    monkeypatch.setattr(training, "fit", short)
+    out = other_queries.mlp_train(spark, "").collect()
+    assert asked == [(1000, [64, 16, 8, 2], 20)]
+    assert len(out) == 10 and all(r.known_class and r.most_likely and r.adds_up for r in out)
